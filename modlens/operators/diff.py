@@ -71,7 +71,8 @@ def _compare(joined: DataFrame) -> DataFrame:
         ]
     return joined.select(
         "pair_id",
-        F.when(F.col("before").isNull(), "added")
+        F.when(F.col("before").isNull() & F.col("after").isNull(), "missing")
+        .when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "removed")
         .otherwise("paired")
         .alias("presence"),
@@ -132,21 +133,14 @@ def diff_pairs(
 
 def diff_changes(diff: DataFrame) -> DataFrame:
     """Long form: ``pair_id, category, change, item``."""
-    entries = []
-    for field in CATEGORIES:
-        for change in ("added", "removed"):
-            entries.append(
-                F.transform(
-                    f"{field}_{change}",
-                    lambda item, field=field, change=change: F.struct(
-                        F.lit(field).alias("category"),
-                        F.lit(change).alias("change"),
-                        item.alias("item"),
-                    ),
-                )
-            )
+    entries = ", ".join(
+        f"transform({field}_{change}, x -> named_struct('category', '{field}',"
+        f" 'change', '{change}', 'item', x))"
+        for field in CATEGORIES
+        for change in ("added", "removed")
+    )
     return (
-        diff.select("pair_id", F.explode_outer(F.concat(*entries)).alias("c"))
+        diff.select("pair_id", F.explode_outer(F.expr(f"concat({entries})")).alias("c"))
         .filter(F.col("c").isNotNull())
         .select("pair_id", "c.*")
     )
