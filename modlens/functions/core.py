@@ -50,10 +50,11 @@ def zipped(left: str, right: str, use: Callable[[str, str], str]) -> str:
 def bind(value: str, use: Callable[[str], str]) -> str:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it.
 
-    Inside a lambda Spark shares no common subexpressions; a lambda over a one-element
-    array does.
+    Inside a lambda Spark shares no common subexpressions. Folding nothing binds the start
+    value to the variable of the finishing lambda, without an array in between.
     """
-    return f"get({each(f'array({value})', use)}, 0)"
+    v = _fresh()
+    return f"aggregate(cast(array() AS array<int>), {value}, (a, e) -> a, {v} -> {use(v)})"
 
 
 def trim(value: str) -> str:

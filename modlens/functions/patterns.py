@@ -8,18 +8,19 @@ long literal or comment costs neither stack nor backtracking. Anchored patterns
 from __future__ import annotations
 
 # Unicode white space, since Java's \s knows ASCII only.
-_WS_SET = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WS = f"[{_WS_SET}]"
-NON_WS = f"[^{_WS_SET}]"
-LINE_WS = f"[{_WS_SET}&&[^\\n]]"
+WS = r"\p{IsWhite_Space}"
+NON_WS = r"\P{IsWhite_Space}"
+LINE_WS = f"[{WS}&&[^\\n]]"
 WS_CHARS = " \t\n\x0b\f\r" + "".join(
     chr(c)
     for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 
 _WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
-B0 = f"(?<!{_WORD})"  # a word starts here
-B1 = f"(?!{_WORD})"  # a word ends here
+# A word starts, ends here. The class of an ASCII neighbour is one table look-up; the
+# properties are asked about others only.
+B0 = rf"(?<![A-Za-z0-9_])(?:(?<=[\x00-\x7F])|(?<!{_WORD}))"
+B1 = rf"(?![A-Za-z0-9_])(?:(?=[\x00-\x7F])|(?!{_WORD}))"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 # A doubled quote closes and reopens a literal, which comes to the same.
@@ -71,7 +72,7 @@ BLOCK_WORDS = (
     r"|END(?: (?:TRY|CATCH)(?= |\z))?)(?: |\z))++"
 )
 OPENING_BEGIN = rf"(?i)\ABEGIN{WS}++(?!(?:TRY|CATCH|TRAN|TRANSACTION)(?!{NON_WS}))"
-WHITESPACE_TO_COLLAPSE = rf"(?! (?!{WS})){WS}++"
+WHITESPACE_TO_COLLAPSE = rf"{WS}(?:(?<! ){WS}*+|{WS}++)"  # all but a single blank
 
 TEMP_TABLE = r"#{1,2}[A-Za-z0-9_]++"
 

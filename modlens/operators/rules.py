@@ -24,17 +24,24 @@ class Rule:
     predicate: Callable[[], Column]
 
 
-def _keywords(pattern: str) -> Callable[[], Column]:
-    return lambda: F.col("keywords").rlike(pattern)
+def _found(pattern: str, literal: str) -> Column:
+    # ``literal`` is part of all that the pattern finds. Looking for bytes in upper-case text
+    # is cheap, so that the pattern runs on few modules.
+    return F.col("upper_keywords").contains(literal) & F.col("keywords").rlike(pattern)
 
 
-def _any_statement(pattern: str) -> Callable[[], Column]:
-    return lambda: F.exists("rule_statements", lambda s: s.rlike(pattern))
+def _keywords(pattern: str, literal: str) -> Callable[[], Column]:
+    return lambda: _found(pattern, literal)
+
+
+def _any_statement(pattern: str, literal: str) -> Callable[[], Column]:
+    return lambda: F.col("upper_keywords").contains(literal) & F.exists(
+        "rule_statements", lambda s: s.rlike(pattern)
+    )
 
 
 def _handled() -> Column:
-    keywords = F.col("keywords")
-    return keywords.rlike(P.BEGIN_TRY) & keywords.rlike(P.BEGIN_CATCH)
+    return _found(P.BEGIN_TRY, "BEGIN TRY") & _found(P.BEGIN_CATCH, "BEGIN CATCH")
 
 
 # Ids, severities and texts of the catalog.
@@ -44,21 +51,21 @@ RULES = [
         "Low",
         "SELECT * found. This may make the procedure fragile when table schema changes.",
         "List required columns explicitly.",
-        _keywords(P.SELECT_STAR),
+        _keywords(P.SELECT_STAR, "*"),
     ),
     Rule(
         "nolock_used",
         "Medium",
         "NOLOCK found. Query may read dirty or uncommitted data.",
         "Verify whether dirty reads are acceptable for this procedure.",
-        _keywords(P.NOLOCK),
+        _keywords(P.NOLOCK, "NOLOCK"),
     ),
     Rule(
         "dynamic_sql",
         "Medium",
         "Dynamic SQL found. Static dependency detection may be incomplete.",
         "Review generated SQL string and validate runtime dependencies manually.",
-        lambda: F.col("keywords").rlike(P.DYNAMIC_EXEC) | F.col("keywords").rlike(P.EXECUTESQL),
+        lambda: _found(P.DYNAMIC_EXEC, "@") | _found(P.EXECUTESQL, "SP_EXECUTESQL"),
     ),
     Rule(
         "linked_server",
@@ -66,22 +73,21 @@ RULES = [
         "Linked server or four-part object reference found. External DB dependency should be "
         "verified.",
         "Verify linked server availability, permissions, and source data freshness.",
-        # The cheap pattern rules most modules out.
-        lambda: F.col("keywords").rlike(P.THREE_DOTS) & F.col("keywords").rlike(P.FOUR_PARTS),
+        lambda: _found(P.THREE_DOTS, ".") & F.col("keywords").rlike(P.FOUR_PARTS),
     ),
     Rule(
         "update_without_where",
         "High",
         "UPDATE statement may be missing WHERE condition.",
         "Confirm this update is intended to affect all rows, or add a WHERE clause.",
-        _any_statement(P.UPDATE_ALL),
+        _any_statement(P.UPDATE_ALL, "UPDATE"),
     ),
     Rule(
         "delete_without_where",
         "High",
         "DELETE statement may be missing WHERE condition.",
         "Confirm this delete is intended to affect all rows, or add a WHERE clause.",
-        _any_statement(P.DELETE_ALL),
+        _any_statement(P.DELETE_ALL, "DELETE"),
     ),
     Rule(
         "insert_select_no_distinct",
@@ -89,7 +95,7 @@ RULES = [
         "INSERT INTO ... SELECT without DISTINCT or GROUP BY found. Duplicate rows may be "
         "inserted if source rows are duplicated.",
         "Verify source row uniqueness or add explicit duplicate prevention.",
-        _any_statement(P.INSERT_SELECT_RAW),
+        _any_statement(P.INSERT_SELECT_RAW, "INSERT"),
     ),
     Rule(
         "multi_join_aggregation",
@@ -98,23 +104,23 @@ RULES = [
         "are not unique.",
         "Check join key uniqueness, pre-aggregate detail rows before joins, and verify whether "
         "additional keys such as MANIFEST_NO, ORDER_NO, or PART_NO are required.",
-        lambda: F.col("keywords").rlike(P.JOIN)
-        & F.col("keywords").rlike(P.GROUP_BY)
-        & F.col("keywords").rlike(P.SUM_OR_COUNT),
+        lambda: _found(P.JOIN, "JOIN")
+        & _found(P.GROUP_BY, "GROUP")
+        & _found(P.SUM_OR_COUNT, "("),
     ),
     Rule(
         "cursor_used",
         "Medium",
         "CURSOR usage found. This may indicate row-by-row processing and performance risk.",
         "Check whether cursor logic can be replaced with set-based operations.",
-        _keywords(P.CURSOR),
+        _keywords(P.CURSOR, "CURSOR"),
     ),
     Rule(
         "transaction_without_trycatch",
         "Medium",
         "Transaction found without TRY/CATCH error handling.",
         "Consider adding TRY/CATCH with COMMIT/ROLLBACK handling.",
-        lambda: F.col("keywords").rlike(P.BEGIN_TRAN) & ~_handled(),
+        lambda: _found(P.BEGIN_TRAN, "BEGIN TRAN") & ~_handled(),
     ),
     Rule(
         "trycatch_without_rollback",
@@ -122,21 +128,21 @@ RULES = [
         "TRY/CATCH found without ROLLBACK. Failed transactions may remain open or partially "
         "applied.",
         "Verify transaction handling and add ROLLBACK in CATCH when appropriate.",
-        lambda: _handled() & ~F.col("keywords").rlike(P.ROLLBACK),
+        lambda: _handled() & ~_found(P.ROLLBACK, "ROLLBACK"),
     ),
     Rule(
         "hardcoded_date",
         "Low",
         "Hardcoded date literal found.",
         "Verify whether date should be parameterized.",
-        lambda: F.col("body").rlike(P.DATE_LITERAL),
+        lambda: F.col("body").contains("'") & F.col("body").rlike(P.DATE_LITERAL),
     ),
     Rule(
         "status_magic_number",
         "Low",
         "Status magic number found.",
         "Consider documenting status meaning or replacing with named constants/reference table.",
-        _keywords(P.STATUS_NUMBER),
+        _keywords(P.STATUS_NUMBER, "STATUS"),
     ),
     Rule(
         "temp_table_chain",
@@ -179,8 +185,9 @@ def rule_catalog(spark: SparkSession, config: RuleConfig | None = None) -> DataF
 
 
 def with_rule_inputs(prepared: DataFrame) -> DataFrame:
-    """Add ``keywords`` (body without literals) and ``rule_statements`` (cleaned)."""
-    return prepared.withColumns(
+    """Add ``keywords`` (body without literals), ``upper_keywords`` and ``rule_statements``
+    (cleaned)."""
+    inputs = prepared.withColumns(
         {
             "keywords": F.expr(drop_literals("body")),
             "rule_statements": F.expr(
@@ -188,6 +195,7 @@ def with_rule_inputs(prepared: DataFrame) -> DataFrame:
             ),
         }
     )
+    return inputs.withColumn("upper_keywords", F.upper("keywords"))
 
 
 def rule_ids(config: RuleConfig | None = None) -> Column:

@@ -33,7 +33,10 @@ def _summary_hits(statement: str, hits: str) -> str:
     # A statement that declares another procedure (a later batch of the file) is
     # summarized by that procedure's body.
     inner = bind(body_of(statement), lambda body: statement_hits(body, "0"))
-    return f"CASE WHEN rlike({statement}, {regex(P.DECLARATION)}) THEN {inner} ELSE {hits} END"
+    return (
+        f"CASE WHEN contains(upper({statement}), 'PROC')"
+        f" AND rlike({statement}, {regex(P.DECLARATION)}) THEN {inner} ELSE {hits} END"
+    )
 
 
 def summarize(statements: str, hits: str) -> str:
