@@ -82,41 +82,25 @@ TEMP_TABLE = r"#{1,2}[A-Za-z0-9_]++"
 # "FROM FROM x" is one read. One pass gives both if an object is stepped over
 # unless it ends in the keyword of ANOTHER class.
 OBJECT = r"[A-Za-z0-9_#@\[\].]"
-_CLASSES = [  # first word, whole keyword
-    ("SELECT", rf"SELECT{WS}+INTO"),
-    ("INSERT", rf"INSERT{WS}+INTO"),
-    ("UPDATE", "UPDATE"),
-    ("DELETE", rf"DELETE(?:{WS}+{OBJECT}+)?{WS}+FROM"),
-    ("MERGE", rf"MERGE{WS}+INTO"),
-    ("FROM", "FROM"),
-    ("JOIN", "JOIN"),
-    ("USING", "USING"),
-    ("EXEC(?:UTE)?", "EXEC(?:UTE)?"),
-]
-
-
-def _reference(index: int) -> str:
-    keyword = _CLASSES[index][1]
-    others = "|".join(word for i, (word, _) in enumerate(_CLASSES) if i != index)
-    ends_in_other = rf"(?:{OBJECT}*[#@\[\].])?(?:{others})(?!{OBJECT})"
-    return rf"({keyword}{WS}++)(?=({OBJECT}++))((?!{ends_in_other}){OBJECT}++)?"
-
+_WORDS = "SELECT|INSERT|UPDATE|DELETE|MERGE|FROM|JOIN|USING|EXEC"  # one per class
+_KEYWORD = (
+    rf"(?:(?:SELECT|INSERT|MERGE){WS}+INTO|DELETE(?:{WS}+{OBJECT}+)?{WS}+FROM"
+    r"|UPDATE|FROM|JOIN|USING|EXEC(?:UTE)?)"
+)
+_ENDS_IN_OTHER = (
+    rf"(?:{OBJECT}*[#@\[\].])?(?!\1(?:UTE)?(?!{OBJECT}))(?:{_WORDS}|EXECUTE)(?!{OBJECT})"
+)
 
 # Unicode noncharacters: never part of interchanged text.
 MARK = chr(0xFDD0)
 FIELD = chr(0xFDD1)
 
+# groups: class, keyword with its white space, object, what is stepped over
 REFERENCE = (
-    rf"(?i)(?=[SIUDMFJE]){B0}(?:" + "|".join(_reference(i) for i in range(len(_CLASSES))) + ")"
+    rf"(?i)(?=[SIUDMFJE]){B0}(?=({_WORDS}))({_KEYWORD}{WS}++)"
+    rf"(?=({OBJECT}++))((?!{_ENDS_IN_OTHER}){OBJECT}++)?"
 )
-
-
-def _groups(first: int) -> str:
-    return "".join(f"${3 * i + first}" for i in range(len(_CLASSES)))
-
-
-# mark, object, keyword with its white space, what was stepped over
-REFERENCE_MARKED = MARK + _groups(2) + FIELD + _groups(1) + FIELD + _groups(3)
+REFERENCE_MARKED = f"{MARK}$3{FIELD}$2{FIELD}$4"
 
 # Object words after EXEC that name no procedure.
 NOT_PROCEDURES = ["as", "caller", "owner", "self", "sp_executesql", "sp_prepare", "sp_execute"]

@@ -87,36 +87,45 @@ def statement_hits(statement: str, stmt_index: str) -> str:
     ``offset`` counts UTF-8 bytes from the start of the statement.
     """
 
-    def locate(pieces: str, head: str) -> str:
-        # a piece is [object, keyword with white space, text stepped over and what follows]
-        widths = each(pieces, lambda p: f"octet_length({p}[1]) + octet_length({p}[2])")
-
-        def build(starts: str) -> str:
-            def hit(piece: str, start: str) -> str:
-                offset = f"octet_length({head}) + {start} + octet_length({piece}[1])"
-                raw = f"{piece}[0]"
-                return bind(
-                    f"CASE upper(left({piece}[1], 2)) {_SOURCE_CASE} END",
-                    lambda source: f"CASE WHEN startswith({raw}, '@') OR ({source} = 'EXEC'"
-                    f" AND lower({raw}) IN ({_NOT_PROCEDURES})) THEN null"
-                    f" ELSE {_hit(offset, stmt_index, _plain_name(raw), source)} END",
-                )
-
-            return zipped(pieces, starts, hit)
-
-        named = f"filter({bind(widths, lambda w: build(starts_of(w)))}, h -> h.object != '')"
+    # a piece is [object, keyword with white space, text stepped over and what follows]
+    def hit(piece: str, before: str) -> str:
+        raw = f"{piece}[0]"
+        return bind(
+            bind(f"upper(left({piece}[1], 2))", lambda start: f"CASE {start} {_SOURCE_CASE} END"),
+            lambda source: f"CASE WHEN startswith({raw}, '@') OR ({source} = 'EXEC'"
+            f" AND lower({raw}) IN ({_NOT_PROCEDURES})) THEN null"
+            f" ELSE {_hit(f'{before} + octet_length({piece}[1])', stmt_index, _plain_name(raw), source)}"
+            " END",
+        )
 
-        def finish(hits: str) -> str:
-            return (
-                f"CASE WHEN size({hits}) < 2 THEN {hits}"
-                f" ELSE {bind(keep_first(hits), without_target_reads)} END"
-            )
+    def one(piece: str, head: str) -> str:
+        return bind(
+            hit(piece, f"octet_length({head})"),
+            lambda h: f"CASE WHEN {h}.object != '' THEN array({h}) ELSE {NO_HITS} END",
+        )
 
-        return bind(named, finish)
+    def several(pieces: str, head: str) -> str:
+        widths = each(pieces, lambda p: f"octet_length({p}[1]) + octet_length({p}[2])")
+        located = bind(
+            widths,
+            lambda w: zipped(
+                pieces, starts_of(w), lambda p, at: hit(p, f"octet_length({head}) + {at}")
+            ),
+        )
+        return bind(
+            f"filter({located}, h -> h.object != '')",
+            lambda hits: f"CASE WHEN size({hits}) < 2 THEN {hits}"
+            f" ELSE {bind(keep_first(hits), without_target_reads)} END",
+        )
 
     def split_up(parts: str) -> str:
         pieces = each(f"slice({parts}, 2, size({parts}) - 1)", lambda p: f"split({p}, '{P.FIELD}')")
-        return bind(pieces, lambda p: locate(p, f"{parts}[0]"))
+        # Most statements refer to one object.
+        single = bind(f"split({parts}[1], '{P.FIELD}')", lambda p: one(p, f"{parts}[0]"))
+        return (
+            f"CASE WHEN size({parts}) = 2 THEN {single}"
+            f" ELSE {bind(pieces, lambda p: several(p, f'{parts}[0]'))} END"
+        )
 
     marked = f"regexp_replace({statement}, {regex(P.REFERENCE)}, '{P.REFERENCE_MARKED}')"
     return bind(

@@ -187,15 +187,20 @@ def rule_catalog(spark: SparkSession, config: RuleConfig | None = None) -> DataF
 def with_rule_inputs(prepared: DataFrame) -> DataFrame:
     """Add ``keywords`` (body without literals), ``upper_keywords`` and ``rule_statements``
     (cleaned)."""
-    inputs = prepared.withColumns(
-        {
-            "keywords": F.expr(drop_literals("body")),
-            "rule_statements": F.expr(
-                each("statement_texts", lambda s: clean_for_rules(drop_literals(s)))
+    cleaned = each("statement_texts", lambda s: clean_for_rules(drop_literals(s)))
+    changes_data = " OR ".join(
+        f"contains(upper_keywords, '{word}')" for word in ("UPDATE", "DELETE", "INSERT")
+    )
+    return (
+        prepared.withColumn("keywords", F.expr(drop_literals("body")))
+        .withColumn("upper_keywords", F.upper("keywords"))
+        .withColumn(
+            "rule_statements",
+            F.expr(
+                f"CASE WHEN {changes_data} THEN {cleaned} ELSE cast(array() AS array<string>) END"
             ),
-        }
+        )
     )
-    return inputs.withColumn("upper_keywords", F.upper("keywords"))
 
 
 def rule_ids(config: RuleConfig | None = None) -> Column:

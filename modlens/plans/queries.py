@@ -211,7 +211,9 @@ def _incremental_findings(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = shared_folder(spark, "incremental")
     append_traces(
-        corpus.order_modules(arriving), f"{out}/traces", f"{out}/checkpoint"
+        corpus.order_modules(arriving.repartition(spark.sparkContext.defaultParallelism)),
+        f"{out}/traces",
+        f"{out}/checkpoint",
     ).awaitTermination()
     return tables.findings(spark.read.parquet(f"{out}/traces")).select(
         "module_id", "rule_id", "severity", "rank"

@@ -20,14 +20,22 @@ def arriving_modules(spark: SparkSession, folder: str, files_per_batch: int = 10
 
 
 def append_traces(
-    modules: DataFrame, out: str, checkpoint: str, config: RuleConfig | None = None
+    modules: DataFrame,
+    out: str,
+    checkpoint: str,
+    config: RuleConfig | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Analyze what is new in the stream ``modules``, append it to ``out``, then stop.
 
     The analysis looks at one module at a time, so the stream needs no state and no
     watermark. Files already seen are kept in ``checkpoint``, which must be on shared
-    storage, as must ``out``; the file sink writes each batch exactly once.
+    storage, as must ``out``; the file sink writes each batch exactly once. Give
+    ``partitions`` when batches are few large files: their rows are then dealt out before
+    the compute-bound analysis.
     """
+    if partitions:
+        modules = modules.repartition(partitions)
     return (
         analyze(modules, config)
         .writeStream.format("parquet")
