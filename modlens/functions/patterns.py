@@ -59,7 +59,7 @@ def _paren(depth: int) -> str:
     return rf"\((?:{inner}{'|' + _paren(depth - 1) if depth > 1 else ''})*+(?:\)|\z)"
 
 
-# T-SQL nests at most once here (DECIMAL(10,2)); eight levels are followed.
+# T-SQL nests at most once here (DECIMAL(10,2)); deeper texts are prepared first.
 _PAREN = _paren(8)
 PARAMETER_ITEM = rf"(?:[^,'(]++|{LITERAL}|{_PAREN}|\()++"
 PARAMETER_PARTS = (

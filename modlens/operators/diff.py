@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlens.functions.core import text
 from modlens.operators.dependencies import objects_of
-from modlens.operators.rules import risks
-from modlens.sources.config import RuleConfig
+from modlens.operators.rules import RULES
 
 # Sets compared, with the category names of their additions and removals.
 CATEGORIES = [
@@ -20,19 +20,14 @@ CATEGORIES = [
 ]
 
 
-def set_diff(left: Column, right: Column) -> Column:
-    """Sorted distinct elements of ``left`` that are not in ``right``."""
-    return F.sort_array(F.array_distinct(F.array_except(left, right)))
-
-
-def _side(traces: DataFrame, key: str, config: RuleConfig | None) -> DataFrame:
+def _side(traces: DataFrame) -> DataFrame:
     """What the comparison needs of a trace; the module text stays behind."""
     parameter = F.expr(
         "transform(parameters, p -> concat(p.name, ' ', p.data_type,"
         " coalesce(concat(' = ', p.default_value), '')))"
     )
     return traces.select(
-        F.col(key).alias("key"),
+        F.col("module_id").alias("key"),
         F.struct(
             "name",
             "metrics",
@@ -43,14 +38,29 @@ def _side(traces: DataFrame, key: str, config: RuleConfig | None) -> DataFrame:
             F.expr(objects_of("dependencies", "Write")).alias("tables_written"),
             F.expr(objects_of("dependencies", "Execute")).alias("procedures_executed"),
             F.col("temp_tables").alias("temp_tables"),
-            F.transform(
-                risks("rule_ids", config),
-                lambda r: F.concat(r.rule_id, F.lit(": "), r.message),
-            ).alias("risks"),
+            # Ids travel; their messages are put behind them in the result.
+            F.col("rule_ids").alias("risks"),
         ).alias("side"),
     )
 
 
+_MESSAGES = " ".join(
+    f"WHEN '{rule.rule_id}' THEN {text(f'{rule.rule_id}: {rule.message}')}" for rule in RULES
+)
+
+
+def _difference(left: str, right: str, field: str) -> Column:
+    """Sorted distinct elements of one side's set that the other side's lacks."""
+
+    def members(side: str) -> str:
+        return f"coalesce({side}.{field}, cast(array() AS array<string>))"
+
+    items = f"sort_array(array_distinct(array_except({members(left)}, {members(right)})))"
+    if field == "risks":
+        items = f"transform({items}, r -> CASE r {_MESSAGES} END)"
+    return F.expr(items)
+
+
 def _compare(joined: DataFrame) -> DataFrame:
     """``pair_id, before, after`` to one wide row of deltas and changed sets."""
 
@@ -59,15 +69,11 @@ def _compare(joined: DataFrame) -> DataFrame:
             F.col(f"before.{field}"), F.lit(0)
         )
 
-    def members(side: str, field: str) -> Column:
-        return F.coalesce(F.col(f"{side}.{field}"), F.array().cast("array<string>"))
-
     changes = []
     for field in CATEGORIES:
-        before, after = members("before", field), members("after", field)
         changes += [
-            set_diff(after, before).alias(f"{field}_added"),
-            set_diff(before, after).alias(f"{field}_removed"),
+            _difference("after", "before", field).alias(f"{field}_added"),
+            _difference("before", "after", field).alias(f"{field}_removed"),
         ]
     return joined.select(
         "pair_id",
@@ -91,30 +97,26 @@ def _compare(joined: DataFrame) -> DataFrame:
     )
 
 
-def diff_snapshots(
-    before: DataFrame, after: DataFrame, key: str = "module_id", config: RuleConfig | None = None
-) -> DataFrame:
-    """Compare two snapshots' traces on a key that is unique in each (``module_id``, ``path``).
+def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Compare two snapshots' traces on ``module_id``, which is unique in each.
 
-    One full outer join of compact rows. ``duplicate_keys`` tells whether another key is
-    unique; to compare modules whose key is not, name the pairs (:func:`diff_pairs`).
+    One full outer join of compact rows. To compare modules by anything that may repeat, a
+    name for instance, name the pairs (:func:`diff_pairs`).
     """
-    left = _side(before, key, config).withColumnRenamed("side", "before")
-    right = _side(after, key, config).withColumnRenamed("side", "after")
+    left = _side(before).withColumnRenamed("side", "before")
+    right = _side(after).withColumnRenamed("side", "after")
     joined = left.join(right, "key", "full_outer").withColumnRenamed("key", "pair_id")
     return _compare(joined)
 
 
-def diff_pairs(
-    traces: DataFrame, pairs: DataFrame, config: RuleConfig | None = None
-) -> DataFrame:
+def diff_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     """Compare the modules of each row of ``pair_id, before_id, after_id``.
 
     Any two modules can be paired, one module in many pairs. The module side has one row per
     key, so a module in a third of all pairs multiplies nothing, and AQE can split its
     partition of the pairs.
     """
-    sides = _side(traces, "module_id", config)
+    sides = _side(traces)
     joined = (
         pairs.select("pair_id", "before_id", "after_id")
         .join(

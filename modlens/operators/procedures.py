@@ -60,15 +60,50 @@ def _parse_item(item: str) -> str:
     return bind(words, fields)
 
 
+def _hide_nested(block: str) -> str:
+    """Commas and equals signs inside literals and brackets to marks, at any depth."""
+    hidden = f"translate(c, ',=', '{P.MARK}{P.FIELD}')"
+    return (
+        f"aggregate(split({block}, ''), named_struct('depth', 0, 'quoted', false, 'out', ''),"
+        " (a, c) -> named_struct('depth', CASE WHEN a.quoted THEN a.depth"
+        " WHEN c = '(' THEN a.depth + 1 WHEN c = ')' THEN greatest(a.depth - 1, 0)"
+        " ELSE a.depth END, 'quoted', (c = '\\'') != a.quoted, 'out', concat(a.out,"
+        f" CASE WHEN a.quoted OR a.depth > 0 THEN {hidden} ELSE c END)), a -> a.out)"
+    )
+
+
+def _show_nested(value: str) -> str:
+    return f"translate({value}, '{P.MARK}{P.FIELD}', ',=')"
+
+
 def parameters_of(block: str) -> str:
-    """``array<struct<name, data_type, default_value>>`` of one parameter block."""
+    """``array<struct<name, data_type, default_value>>`` of one parameter block.
+
+    One pattern follows brackets to the depth that T-SQL has. A block that is left with many
+    after its innermost pairs are taken out is prepared character by character instead.
+    """
 
     def parse(b: str) -> str:
         inner = (
             f"CASE WHEN startswith({b}, '(') AND endswith({b}, ')')"
             f" THEN {trim(f'substr({b}, 2, length({b}) - 2)')} ELSE {b} END"
         )
-        items = f"regexp_extract_all({inner}, {regex(P.PARAMETER_ITEM)}, 0)"
+        return bind(inner, split_items)
+
+    def split_items(b: str) -> str:
+        outer = f"regexp_replace({b}, {regex(r'[(][^()]*+[)]')}, '')"
+        deep = bind(outer, lambda o: f"length({o}) - length(replace({o}, '(', '')) > 7")
+        shown = [
+            f"'{field}', {_show_nested(f'p.{field}')}"
+            for field in ("name", "data_type", "default_value")
+        ]
+        any_depth = (
+            f"transform({bind(_hide_nested(b), items)}, p -> named_struct({', '.join(shown)}))"
+        )
+        return f"CASE WHEN {deep} THEN {any_depth} ELSE {items(b)} END"
+
+    def items(b: str) -> str:
+        items = f"regexp_extract_all({b}, {regex(P.PARAMETER_ITEM)}, 0)"
         bare = each(items, lambda i: trim(f"rtrim(';', {trim(f"rtrim(',', {trim(i)})")})"))
         return each(where(bare, lambda i: f"startswith({i}, '@')"), _parse_item)
 
@@ -78,10 +113,17 @@ def parameters_of(block: str) -> str:
 
 def with_header(modules: DataFrame) -> DataFrame:
     """Add ``code`` (no comments), ``name``, ``parameter_block`` and ``body``."""
+    # The marks are noncharacters; should a text hold one, it becomes U+FFFD.
+    unknown = chr(0xFFFD) * 2
+    readable = (
+        f"CASE WHEN contains(sql, '{P.MARK}') OR contains(sql, '{P.FIELD}')"
+        f" THEN translate(sql, '{P.MARK}{P.FIELD}', '{unknown}') ELSE coalesce(sql, '') END"
+    )
     name = normalize_identifier(f"regexp_extract(_declared, {regex(P.NAME_AT_END)}, 0)")
     body = trim(f"CASE WHEN _head = '' THEN code ELSE {_after('_rest', '_head')} END")
     return (
-        modules.withColumn("code", F.expr(strip_comments("coalesce(sql, '')")))
+        modules.withColumn("_sql", F.expr(readable))
+        .withColumn("code", F.expr(strip_comments("_sql")))
         .withColumn("_declared", F.expr(up_to_name("code")))
         .withColumn("_rest", F.expr(_after("code", "_declared")))
         .withColumn("_head", F.expr(up_to_as("_declared", "_rest")))
@@ -94,5 +136,5 @@ def with_header(modules: DataFrame) -> DataFrame:
                 "body": F.expr(body),
             }
         )
-        .drop("_declared", "_rest", "_head")
+        .drop("_sql", "_declared", "_rest", "_head")
     )

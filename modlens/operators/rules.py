@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.functions import patterns as P
-from modlens.functions.core import bind, each, text
+from modlens.functions.core import bind, each, regex, text
 from modlens.functions.text import clean_for_rules, drop_literals
 from modlens.schemas import SEVERITY_RANK
 from modlens.sources.config import RuleConfig
@@ -21,27 +20,25 @@ class Rule:
     severity: str
     message: str
     suggestion: str
-    predicate: Callable[[], Column]
+    predicate: str  # SQL text over body, temp_tables and the columns of with_rule_inputs
 
 
-def _found(pattern: str, literal: str) -> Column:
+def _keywords(pattern: str, literal: str) -> str:
     # ``literal`` is part of all that the pattern finds. Looking for bytes in upper-case text
     # is cheap, so that the pattern runs on few modules.
-    return F.col("upper_keywords").contains(literal) & F.col("keywords").rlike(pattern)
+    return f"(contains(upper_keywords, {text(literal)}) AND rlike(keywords, {regex(pattern)}))"
 
 
-def _keywords(pattern: str, literal: str) -> Callable[[], Column]:
-    return lambda: _found(pattern, literal)
-
-
-def _any_statement(pattern: str, literal: str) -> Callable[[], Column]:
-    return lambda: F.col("upper_keywords").contains(literal) & F.exists(
-        "rule_statements", lambda s: s.rlike(pattern)
+def _any_statement(pattern: str, literal: str) -> str:
+    return (
+        f"(contains(upper_keywords, {text(literal)})"
+        f" AND exists(rule_statements, s -> rlike(s, {regex(pattern)})))"
     )
 
 
-def _handled() -> Column:
-    return _found(P.BEGIN_TRY, "BEGIN TRY") & _found(P.BEGIN_CATCH, "BEGIN CATCH")
+_HANDLED = (
+    f"({_keywords(P.BEGIN_TRY, 'BEGIN TRY')} AND {_keywords(P.BEGIN_CATCH, 'BEGIN CATCH')})"
+)
 
 
 # Ids, severities and texts of the catalog.
@@ -65,7 +62,7 @@ RULES = [
         "Medium",
         "Dynamic SQL found. Static dependency detection may be incomplete.",
         "Review generated SQL string and validate runtime dependencies manually.",
-        lambda: _found(P.DYNAMIC_EXEC, "@") | _found(P.EXECUTESQL, "SP_EXECUTESQL"),
+        f"{_keywords(P.DYNAMIC_EXEC, '@')} OR {_keywords(P.EXECUTESQL, 'SP_EXECUTESQL')}",
     ),
     Rule(
         "linked_server",
@@ -73,7 +70,7 @@ RULES = [
         "Linked server or four-part object reference found. External DB dependency should be "
         "verified.",
         "Verify linked server availability, permissions, and source data freshness.",
-        lambda: _found(P.THREE_DOTS, ".") & F.col("keywords").rlike(P.FOUR_PARTS),
+        f"{_keywords(P.THREE_DOTS, '.')} AND rlike(keywords, {regex(P.FOUR_PARTS)})",
     ),
     Rule(
         "update_without_where",
@@ -104,9 +101,8 @@ RULES = [
         "are not unique.",
         "Check join key uniqueness, pre-aggregate detail rows before joins, and verify whether "
         "additional keys such as MANIFEST_NO, ORDER_NO, or PART_NO are required.",
-        lambda: _found(P.JOIN, "JOIN")
-        & _found(P.GROUP_BY, "GROUP")
-        & _found(P.SUM_OR_COUNT, "("),
+        f"{_keywords(P.JOIN, 'JOIN')} AND {_keywords(P.GROUP_BY, 'GROUP')}"
+        f" AND {_keywords(P.SUM_OR_COUNT, '(')}",
     ),
     Rule(
         "cursor_used",
@@ -120,7 +116,7 @@ RULES = [
         "Medium",
         "Transaction found without TRY/CATCH error handling.",
         "Consider adding TRY/CATCH with COMMIT/ROLLBACK handling.",
-        lambda: _found(P.BEGIN_TRAN, "BEGIN TRAN") & ~_handled(),
+        f"{_keywords(P.BEGIN_TRAN, 'BEGIN TRAN')} AND NOT {_HANDLED}",
     ),
     Rule(
         "trycatch_without_rollback",
@@ -128,14 +124,14 @@ RULES = [
         "TRY/CATCH found without ROLLBACK. Failed transactions may remain open or partially "
         "applied.",
         "Verify transaction handling and add ROLLBACK in CATCH when appropriate.",
-        lambda: _handled() & ~_found(P.ROLLBACK, "ROLLBACK"),
+        f"{_HANDLED} AND NOT {_keywords(P.ROLLBACK, 'ROLLBACK')}",
     ),
     Rule(
         "hardcoded_date",
         "Low",
         "Hardcoded date literal found.",
         "Verify whether date should be parameterized.",
-        lambda: F.col("body").contains("'") & F.col("body").rlike(P.DATE_LITERAL),
+        f"contains(body, '\\'') AND rlike(body, {regex(P.DATE_LITERAL)})",
     ),
     Rule(
         "status_magic_number",
@@ -149,7 +145,7 @@ RULES = [
         "Low",
         "Multiple temp tables found. Procedure flow may be complex and order-dependent.",
         "Review temp table lifecycle and ensure intermediate data is deduplicated where needed.",
-        lambda: F.size("temp_tables") >= 3,
+        "size(temp_tables) >= 3",
     ),
 ]
 
@@ -205,10 +201,12 @@ def with_rule_inputs(prepared: DataFrame) -> DataFrame:
 
 def rule_ids(config: RuleConfig | None = None) -> Column:
     """Ids of the rules a module breaks. The order is fixed at plan time: no sort per row."""
-    hits = [F.when(rule.predicate(), F.lit(rule.rule_id)) for rule, _ in active_rules(config)]
+    hits = [
+        f"CASE WHEN {rule.predicate} THEN '{rule.rule_id}' END" for rule, _ in active_rules(config)
+    ]
     if not hits:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*hits))
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
 def risk_level(ids: Column, config: RuleConfig | None = None) -> Column:

@@ -39,6 +39,11 @@ def _summary_hits(statement: str, hits: str) -> str:
     )
 
 
+def is_summarized(statement: str) -> str:
+    """Whether a trimmed statement has a summary: cleaning empties END alone."""
+    return f"upper(left({statement}, 4)) != 'END'"
+
+
 def summarize(statements: str, hits: str) -> str:
     """``array<struct<index, kind, target, sources>>``; statements END alone are dropped."""
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.functions.core import each
+from modlens.functions.core import each, where
 from modlens.functions.identifiers import file_stem
 from modlens.functions.text import split_code
 from modlens.operators.dependencies import module_dependencies, statement_hits, temp_tables_of
 from modlens.operators.procedures import parameters_of, with_header
 from modlens.operators.rules import risk_level, rule_ids, with_rule_inputs
-from modlens.operators.statements import summarize
+from modlens.operators.statements import is_summarized, summarize
 from modlens.sources.config import RuleConfig
 
 
@@ -49,6 +49,8 @@ def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
                 "dependencies": F.expr(module_dependencies("hits")),
                 "statements": F.expr(summarize("statement_texts", "hits")),
                 "rule_ids": rule_ids(config),
+                # As many as summaries, without making them where only the count is used.
+                "statement_count": F.expr(f"size({where('statement_texts', is_summarized)})"),
             }
         )
 
@@ -68,7 +70,7 @@ def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
         "statements",
         "rule_ids",
         F.struct(
-            F.size("statements").alias("statement_count"),
+            "statement_count",
             count_of("Read").alias("read_count"),
             count_of("Write").alias("write_count"),
             risk_level(F.col("rule_ids"), config).alias("risk_level"),

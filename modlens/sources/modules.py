@@ -13,7 +13,7 @@ def spread(scan: DataFrame) -> DataFrame:
     splits enough is left alone, so a large corpus is never shuffled for this.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
 
 
 def read_module_table(

@@ -110,6 +110,38 @@ def test_parameters(traces):
     assert params("semicolon") == [("@a", "INT", None), ("@b", "INT", None)]
 
 
+def test_parameters_nested_deeply(traces):
+    deep = "f(" * 12 + "1, 2 = '),(=''', 3" + ")" * 12
+    uneven = "(" * 8 + "x)y(z(u, v = 1" + ")" * 9
+    found = traces(
+        {
+            "deep": f"CREATE PROC p @a t = {deep}, @b INT = 1 OUTPUT, @c CHAR(1) = '=' AS SELECT 1",
+            "uneven": f"CREATE PROC p @a t{uneven} = 2, @b INT AS SELECT 1",
+            "many": "CREATE PROC p "
+            + ", ".join(f"@p{i} DECIMAL({i}, 2) = {i}" for i in range(30))
+            + " AS SELECT 1",
+        }
+    )
+    assert [tuple(p) for p in found["deep"].parameters] == [
+        ("@a", "t", deep),
+        ("@b", "INT", "1"),
+        ("@c", "CHAR(1)", "'='"),
+    ]
+    assert [tuple(p) for p in found["uneven"].parameters] == [
+        ("@a", f"t{uneven}", "2"),
+        ("@b", "INT", None),
+    ]
+    assert [tuple(p) for p in found["many"].parameters] == [
+        (f"@p{i}", f"DECIMAL({i}, 2)", str(i)) for i in range(30)
+    ]
+
+
+def test_marks_in_the_text(traces):
+    sql = f"SELECT '{chr(0xFDD0)}é' FROM a JOIN b ON '{chr(0xFDD1)}' = ''"
+    trace = traces({"m": sql})["m"]
+    assert [(d.object, d.offset) for d in trace.dependencies] == [("a", 20), ("b", 27)]
+
+
 def test_dependencies(traces):
     found = traces(
         {
