@@ -20,14 +20,14 @@ CATEGORIES = [
 ]
 
 
-def _side(traces: DataFrame) -> DataFrame:
+def _side(traces: DataFrame, key: str, side: str) -> DataFrame:
     """What the comparison needs of a trace; the module text stays behind."""
     parameter = F.expr(
         "transform(parameters, p -> concat(p.name, ' ', p.data_type,"
         " coalesce(concat(' = ', p.default_value), '')))"
     )
     return traces.select(
-        F.col("module_id").alias("key"),
+        F.col("module_id").alias(key),
         F.struct(
             "name",
             "metrics",
@@ -40,7 +40,7 @@ def _side(traces: DataFrame) -> DataFrame:
             F.col("temp_tables").alias("temp_tables"),
             # Ids travel; their messages are put behind them in the result.
             F.col("rule_ids").alias("risks"),
-        ).alias("side"),
+        ).alias(side),
     )
 
 
@@ -103,10 +103,11 @@ def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     One full outer join of compact rows. To compare modules by anything that may repeat, a
     name for instance, name the pairs (:func:`diff_pairs`).
     """
-    left = _side(before).withColumnRenamed("side", "before")
-    right = _side(after).withColumnRenamed("side", "after")
-    joined = left.join(right, "key", "full_outer").withColumnRenamed("key", "pair_id")
-    return _compare(joined)
+    return _compare(
+        _side(before, "pair_id", "before").join(
+            _side(after, "pair_id", "after"), "pair_id", "full_outer"
+        )
+    )
 
 
 def diff_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -116,19 +117,10 @@ def diff_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     key, so a module in a third of all pairs multiplies nothing, and AQE can split its
     partition of the pairs.
     """
-    sides = _side(traces)
     joined = (
         pairs.select("pair_id", "before_id", "after_id")
-        .join(
-            sides.select(F.col("key").alias("before_id"), F.col("side").alias("before")),
-            "before_id",
-            "left",
-        )
-        .join(
-            sides.select(F.col("key").alias("after_id"), F.col("side").alias("after")),
-            "after_id",
-            "left",
-        )
+        .join(_side(traces, "before_id", "before"), "before_id", "left")
+        .join(_side(traces, "after_id", "after"), "after_id", "left")
     )
     return _compare(joined)
 
