@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import bpe, chat, mixing, records, token_counts
+from modlens.llm import bpe, chat, exact, mixing, ngram_join, records, token_counts
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -68,6 +68,14 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document; a token over a line's end counts where it begins."""
     counted = token_counts.section_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), "first", sections=None)
@@ -90,6 +98,8 @@ QUERIES = {
         op2_source_mix,
         op3_token_records,
         op5_chat_format,
+        op6_exact_dedup,
         op9_token_counts,
+        op10_ngram_join,
     )
 }

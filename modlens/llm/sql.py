@@ -38,4 +38,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5}
+OP6 = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY text)
+"""
+
+ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5, "op6_exact_dedup": OP6}
