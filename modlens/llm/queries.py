@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import bpe, chat, exact, mixing, ngram_join, records, token_counts
+from modlens.llm import bpe, chat, exact, mixing, ngram_join, records, search, token_counts, toxicity
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -48,6 +48,22 @@ def op3_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.read_token_records(index, out).drop("ids")
 
 
+#: Rows with this remainder are held out from training.
+FOLDS, HELD_OUT = 4, 2
+TOXIC_FROM = 0.3
+
+
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels").where(~held_out()))
+    scored = toxicity.toxicity_scores(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"))
+
+
 CHAT_TEST = "\\### Assistant: </turn> ok"
 
 
@@ -76,6 +92,11 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = search.quantized(search.usable(table(spark, folder, "embeddings"), "vec_id", "embedding"), 1024)
+    return search.top_k(rows, rows.where("vec_id % 100 = 0"), 10, queries_are_rows=True)
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document; a token over a line's end counts where it begins."""
     counted = token_counts.section_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), "first", sections=None)
@@ -97,8 +118,10 @@ QUERIES = {
         op1_bpe_round_trip,
         op2_source_mix,
         op3_token_records,
+        op4_toxicity,
         op5_chat_format,
         op6_exact_dedup,
+        op8_exact_top_k,
         op9_token_counts,
         op10_ngram_join,
     )

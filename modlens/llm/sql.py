@@ -44,4 +44,14 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM texts WINDOW same AS (PARTITION BY text)
 """
 
-ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5, "op6_exact_dedup": OP6}
+OP8 = r"""
+WITH rows AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_exact_top_k": OP8}
