@@ -1,8 +1,8 @@
 """Byte-level BPE through the tokenizers library, which sees each distinct piece of a block once.
 
-A byte-level tokenizer of this kind starts a new pre-token at a single space between two characters that
-are no white space, whatever stands before. So texts are cut there, exactly, and the library's coding of
-a piece is kept for the next texts. All other white space stays inside its piece.
+A byte-level tokenizer of this kind starts a new pre-token at a single space, or line feed, between two
+characters that are no white space, whatever stands before. So texts are cut there, exactly, and the library's
+coding of a piece is kept for the next texts. All other white space stays inside its piece.
 """
 
 from __future__ import annotations
@@ -15,20 +15,29 @@ from array import array
 import numpy as np
 
 #: Pieces kept in each of two generations: a bound of memory, not of results.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 
-BESIDE = re.compile(r" (?=\s)|(?<=\s) ")
+RUNS = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def cut(text: str) -> list[str]:
-    """The text as pieces that tokenize apart as they do together."""
-    if not text:
-        return []
-    if BESIDE.search(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [p for p in [first, *[" " + r for r in rest]] if p]
+    """The first piece, then the others without the space before them; those after a line feed keep that."""
+    if RUNS.search(text):
+        first, *rest = CUT.split(text)
+        return [first, *[r[1:] for r in rest]]
+    return text.replace("\n", " \n").split(" ")
+
+
+def whole(piece: str) -> str:
+    """A piece after the first, as it stands in the text."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
+class Kept(dict):
+    """Codings of the latest pieces; `older` holds those before."""
+
+    older: dict = {}
 
 
 class Pieces:
@@ -43,44 +52,55 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.spans = spans
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes | tuple[bytes, bytes]] = {}
-        self.older: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.firsts, self.others = Kept(), Kept()
 
-    def look_up(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them kept from now on until the next call."""
-        split = [cut(t) for t in texts]
-        if len(self.kept) > KEPT_PIECES:
-            self.older, self.kept = self.kept, {}
+    def code(self, pieces: list[str]) -> list:
+        """Ids as bytes; or starts, ends, number of tokens and length."""
+        if self.spans:
+            coded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+            return [(array("i", [a for a, _ in e.offsets]).tobytes(), array("i", [b for _, b in e.offsets]).tobytes(), len(e.offsets), len(p)) for p, e in zip(pieces, coded, strict=True)]
+        kind = "H" if self.wide.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn(self, kept: Kept, pieces: set[str], written) -> None:
         fresh = []
-        for piece in set().union(*split) - self.kept.keys():
-            if (coding := self.older.get(piece)) is not None:
-                self.kept[piece] = coding
+        for piece in pieces:
+            if (coding := kept.older.get(piece)) is not None:
+                kept[piece] = coding
             else:
                 fresh.append(piece)
-        if self.spans:
-            for piece, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                self.kept[piece] = array("i", [a for a, _ in e.offsets]).tobytes(), array("i", [b for _, b in e.offsets]).tobytes()
-        else:
-            code = "H" if self.wide.itemsize == 2 else "I"
-            for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.kept[piece] = array(code, e.ids).tobytes()
-        return split
+        kept.update(zip(fresh, self.code([written(p) for p in fresh]), strict=True))
+
+    def look_up(self, texts: list[str]) -> list[list]:
+        """The codings of the pieces of each text."""
+        for kept in (self.firsts, self.others):
+            if len(kept) > KEPT_PIECES:
+                kept.older = dict(kept)
+                kept.clear()
+        split = [cut(t) for t in texts]
+        self.learn(self.firsts, {pieces[0] for pieces in split} - self.firsts.keys(), lambda p: p)
+        get = self.others.get
+        found = [list(map(get, pieces)) for pieces in split]
+        lacking = [i for i, codings in enumerate(found) if None in codings]
+        if lacking:
+            self.learn(self.others, {p for i in lacking for p, c in zip(split[i], found[i], strict=True) if c is None}, whole)
+            for i in lacking:
+                found[i] = list(map(get, split[i]))
+        for pieces, codings in zip(split, found, strict=True):
+            codings[0] = self.firsts[pieces[0]]
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, of type `wide`."""
-        split, kept = self.look_up(texts), self.kept
-        return [b"".join([kept[p] for p in pieces]) for pieces in split]
+        return [b"".join(codings) for codings in self.look_up(texts)]
 
     def token_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and end character of each token of each text."""
-        split, kept = self.look_up(texts), self.kept
         out = []
-        for pieces in split:
-            coded = [kept[p] for p in pieces]
-            sizes = np.array([len(c[0]) // 4 for c in coded], dtype=np.int64)
-            lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-            base = np.repeat(np.cumsum(lengths) - lengths, sizes)
-            out.append(tuple(np.frombuffer(b"".join([c[k] for c in coded]), dtype=np.int32) + base for k in (0, 1)))
+        for coded in self.look_up(texts):
+            starts, ends, sizes, lengths = zip(*coded, strict=True)
+            base = np.cumsum((0, *lengths[:-1])).repeat(sizes)
+            out.append((np.frombuffer(b"".join(starts), dtype=np.int32) + base, np.frombuffer(b"".join(ends), dtype=np.int32) + base))
         return out
 
 

@@ -45,7 +45,7 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op3_token_records(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "token-records")
     index = records.write_token_records(table(spark, folder, "documents"), out, vocabulary("byte_bpe_50k.json"), END_ID)
-    return records.read_token_records(index, out).drop("ids")
+    return records.read_token_records(index, out, with_ids=False)
 
 
 #: Rows with this remainder are held out from training.

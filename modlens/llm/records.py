@@ -48,16 +48,16 @@ def frame(records: list[bytes]) -> list[bytes]:
     return [lengths[i] + checks[i].tobytes() + records[i] + checks[n + i].tobytes() for i in range(n)]
 
 
-def unframe(data: bytes) -> bytes:
-    """The record of a frame; raises if a length or checksum is wrong."""
-    (length,) = struct.unpack_from("<Q", data)
-    record = data[12 : 12 + length]
-    if len(data) != length + 16:
+def unframe(frames: list[bytes]) -> list[bytes]:
+    """The records of frames; raises if a length or checksum is wrong."""
+    lengths = [struct.unpack_from("<Q", f)[0] for f in frames]
+    if any(len(f) != n + 16 for f, n in zip(frames, lengths, strict=True)):
         raise ValueError("a record is cut off")
-    for part, at in ((data[:8], 8), (record, 12 + length)):
-        if masked(crc32c([part]))[0] != struct.unpack_from("<I", data, at)[0]:
-            raise ValueError("a record fails its checksum")
-    return record
+    records = [f[12:-4] for f in frames]
+    stored = [struct.unpack_from("<I", f, 8)[0] for f in frames] + [struct.unpack_from("<I", f, len(f) - 4)[0] for f in frames]
+    if (masked(crc32c([*(f[:8] for f in frames), *records])) != np.array(stored, dtype=np.uint32)).any():
+        raise ValueError("a record fails its checksum")
+    return records
 
 
 def write_token_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,10 +118,12 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX + ", start long").parquet(f"{folder}/index")
 
 
-def read_token_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index rows name, checked: doc_id, start, n_tokens, ids_crc32 and ids (array of int)."""
-    # The rows of a file lie together, so that a task opens few files and reads each from front to back.
-    rows = index.select("file", "offset", "length", "start").repartition("file").sortWithinPartitions("file", "offset")
+def read_token_records(index: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """The records that the index rows name, checked: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array of int)."""
+    # The rows of a file lie together, so that a task opens few files and reads each from front to back. The
+    # number of partitions is given, as the index is small against the records that its rows stand for.
+    partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = index.select("file", "offset", "length", "start").repartition(partitions, "file").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -130,30 +132,31 @@ def read_token_records(index: DataFrame, folder: str) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 files, offsets, lengths, starts = (c.to_pylist() for c in part.columns)
-                keys, ids = [], []
+                frames = []
                 for file, offset, length in zip(files, offsets, lengths, strict=True):
                     if file != name:
                         if source:
                             source.close()
                         name, source = file, store.open_input_file(f"{root}/{file}")
                     source.seek(offset)
-                    record = unframe(source.read(length))
+                    frames.append(source.read(length))
+                keys, ids = [], []
+                for record in unframe(frames):
                     key, there, width = struct.unpack_from(HEAD, record)
                     keys.append(key if there else None)
                     ids.append(np.frombuffer(record, dtype=f"<u{width}", offset=struct.calcsize(HEAD)).astype("<u4"))
-                ends = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(i) for i in ids], out=ends[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys, pa.int64()),
-                        pa.array(starts, pa.int64()),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {
+                    "doc_id": pa.array(keys, pa.int64()),
+                    "start": pa.array(starts, pa.int64()),
+                    "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
+                }
+                if with_ids:
+                    ends = np.zeros(len(ids) + 1, dtype=np.int32)
+                    np.cumsum([len(i) for i in ids], out=ends[1:])
+                    columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
         if source:
             source.close()
 
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
