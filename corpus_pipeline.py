@@ -1,19 +1,95 @@
 """A training corpus from raw documents: toxicity, exact dedup, near dedup, mixing, BPE.
 
 Each stage takes the documents that its predecessor kept, is written as Parquet, and read again.
+
+* `toxicity` drops documents that are likelier toxic than REJECT_FROM says (null texts stay).
+* `exact_dedup` keeps the row of the largest doc_id of equal texts, of repeated rows one.
+* `near_dedup` keeps the document of the smallest doc_id of each component of linked texts.
+* `source_mix` repeats each document as often as the mix takes its words, to the nearest whole number, so
+  that texts stay whole; documents without words, of which a mix takes nothing, stay once.
+* `bpe` adds the ids of each text; its decoded form is stored as a digest.
+
+An empty table passes all stages. Columns besides those of documents pass through the first four.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from modlens.session import shared_folder
+from modlens.llm import bpe as bpe_codec
+from modlens.llm import exact, mixing, ngram_join
+from modlens.llm import toxicity as toxic
+from modlens.llm.queries import held_out, vocabulary
+from modlens.session import shared_folder, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: A score from which a document is rejected.
+REJECT_FROM = 0.4
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key of the row's id and text, as ids need not be unique."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("doc_id", "text")]
+    return docs.withColumn("__key", F.md5(F.concat_ws("\x00", *parts)))
+
+
+def chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of each key of keys (__key)."""
+    rows = keyed(docs).join(keys.distinct(), "__key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("source", "lang", "n_chars"))
+    return rows.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    scored = toxic.toxicity_scores(docs, toxic.train(docs, labels), score="__toxicity")
+    return scored.where(F.col("__toxicity") < REJECT_FROM).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = keyed(docs).withColumn("__row", F.struct("doc_id", "__key"))
+    kept = exact.exact_duplicates(rows, "__row").where("kept")
+    return chosen(docs, kept.select(F.col("doc_id.__key").alias("__key")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = keyed(docs).withColumn("__row", F.struct("doc_id", "__key"))
+    kept = ngram_join.ngram_components(rows, "__row").where("keeper")
+    return chosen(docs, kept.select(F.col("doc_id.__key").alias("__key")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sizes = mixing.document_sizes(keyed(docs), content=F.col("__key"))
+    targets = mixing.source_targets(sizes)
+    taken = mixing.taken_words(sizes, targets, mixing.mix(sizes, targets))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
+    totals = taken.groupBy(F.col("content").alias("__key")).agg(F.sum(copies).alias("__copies"), F.count("*").alias("__rows"))
+    rows = keyed(docs).join(totals, "__key")
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("source", "lang", "n_chars"))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(number <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    return rows.withColumn("__own", own.cast("int")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__own")))).select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    coded = bpe_codec.bpe_round_trip(docs.select("doc_id", "source", "lang", "text"), vocabulary("word_bpe_49k.json"))
+    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("bpe", bpe),
+]
 
 #: SQL can express neither the classifier nor BPE; the tests hold run() against brute force.
 ORACLE_SQL = None

@@ -44,8 +44,8 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """A small stored row per document: row (unique), doc_id, source, size, content (a hash of the text)."""
+def document_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", content: Column | None = None) -> DataFrame:
+    """A small stored row per document: row (unique), doc_id, source, size, content (of the caller, else a hash of the text)."""
     spark = df.sparkSession
     folder = shared_folder(spark, "mix-sizes")
     df.select(
@@ -53,7 +53,7 @@ def document_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", so
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         words(text).alias("size"),
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("content"),
+        (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) if content is None else content).alias("content"),
     ).write.parquet(folder)
     return spark.read.parquet(folder)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import bpe, chat, exact, mixing, ngram_join, records, search, token_counts, toxicity
+from modlens.llm import bpe, chat, exact, lines, mixing, ngram_join, records, search, token_counts, toxicity
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -92,6 +92,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_matches(table(spark, folder, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     rows = search.quantized(search.usable(table(spark, folder, "embeddings"), "vec_id", "embedding"), 1024)
     return search.top_k(rows, rows.where("vec_id % 100 = 0"), 10, queries_are_rows=True)
@@ -121,6 +125,7 @@ QUERIES = {
         op4_toxicity,
         op5_chat_format,
         op6_exact_dedup,
+        op7_line_dedup,
         op8_exact_top_k,
         op9_token_counts,
         op10_ngram_join,
