@@ -57,6 +57,8 @@ CANDIDATE_COST = 4.0
 LIST_ROWS = 4096
 #: A list of n rows emits all its candidates if they are no more than n times this.
 FEW = 2
+#: Lists up to this length are gone over in plain Python, which costs less than arrays there.
+SHORT = 24
 #: Word hashes kept: a bound of memory.
 KEPT_WORDS = 500_000
 
@@ -209,24 +211,51 @@ def list_rows(nodes: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, LISTED)
 
 
-def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
+Row = tuple[int, int, int, int, int, bytes, bytes]  # node, label, s, d, need, map, tokens
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[Row]]]:
     """The groups of rows of equal (token, pair), of batches sorted by them."""
-    held: list[pa.RecordBatch] = []
+    held: list[Row] = []
     key = None
     for batch in batches:
         tokens, pairs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(tokens) != 0) | (np.diff(pairs) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        cuts = (np.flatnonzero((np.diff(tokens) != 0) | (np.diff(pairs) != 0)) + 1).tolist()
+        rows = list(zip(*(batch.column(k).to_pylist() for k in range(2, batch.num_columns)), strict=True))
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
             if a == b:
                 continue
             this = int(tokens[a]), int(pairs[a])
             if this != key and held:
-                yield key, pa.Table.from_batches(held)
+                yield key, held
                 held = []
             key = this
-            held.append(batch.slice(a, b - a))
+            held += rows[a:b]
     if held:
-        yield key, pa.Table.from_batches(held)
+        yield key, held
+
+
+def few_candidates(rows: list[Row]) -> list[tuple[int, int, int]]:
+    """As candidates(), for short lists: i, j, differing bits."""
+    maps = [int.from_bytes(r[5], "little") for r in rows]
+    found = []
+    for j in range(1, len(rows)):
+        _, label, s, d, need, _, tokens = rows[j]
+        for i in range(j):
+            other = rows[i]
+            t = other[2]
+            if label == other[1] or PERCENT * max(s, t) > 100 * min(s, t):
+                continue
+            shared = -(-PERCENT * (s + t) // (100 + PERCENT))
+            if min(d, other[3]) < shared:
+                continue
+            bits = (maps[i] ^ maps[j]).bit_count()
+            if bits > s + t - 2 * shared:
+                continue
+            both = len(set(memoryview(tokens).cast("H")).intersection(memoryview(other[6]).cast("H")))
+            if both >= min(need, other[4]):
+                found.append((i, j, bits))
+    return found
 
 
 def matches(marks: list[np.ndarray]) -> np.ndarray:
@@ -237,12 +266,15 @@ def matches(marks: list[np.ndarray]) -> np.ndarray:
     return has @ has.T
 
 
-def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of a list that pass all filters, and the differing bits of their maps."""
-    s, d, need = (table.column(c).to_numpy().astype(np.int32) for c in ("s", "d", "need"))
-    m = table.num_rows
-    maps = np.frombuffer(b"".join(table.column("map").to_pylist()), dtype=np.uint64).reshape(m, -1)
-    label = table.column("label").to_numpy()
+    m = len(rows)
+    if m <= SHORT:
+        few = np.array(few_candidates(rows), dtype=np.int64).reshape(-1, 3)
+        return few[:, 0], few[:, 1], few[:, 2]
+    _, label, s, d, need, maps, tokens = zip(*rows, strict=True)
+    label, s, d, need = (np.array(x, dtype=np.int64) for x in (label, s, d, need))
+    maps = np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(m, -1)
     found = []
     for i in range(m - 1):
         j = slice(i + 1, m)
@@ -260,7 +292,7 @@ def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
     a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    marks = [np.unique(np.frombuffer(t, dtype=np.uint16)) for t in table.column("tokens").to_pylist()]
+    marks = [np.unique(np.frombuffer(t, dtype=np.uint16)) for t in tokens]
     if len(a) > m:
         both = matches(marks)[a, b]
     else:
@@ -305,17 +337,17 @@ def emit(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "pair", "a", "b", "pending"])
 
-        for (token, pair), table in lists(batches):
-            if table.num_rows < 2:
+        for (token, pair), rows in lists(batches):
+            if len(rows) < 2:
                 continue
-            a, b, bits = candidates(table)
+            a, b, bits = candidates(rows)
             if not len(a):
                 continue
-            pending = not every and len(a) > FEW * table.num_rows
+            pending = not every and len(a) > FEW * len(rows)
             if pending:
-                kept = spanning(table.num_rows, a, b, bits)
+                kept = spanning(len(rows), a, b, bits)
                 a, b = a[kept], b[kept]
-            nodes = table.column("node").to_numpy()
+            nodes = np.array([r[0] for r in rows])
             x, y = nodes[a], nodes[b]
             for column, values in zip(out, (np.full(len(a), token), np.full(len(a), pair), np.minimum(x, y), np.maximum(x, y), np.full(len(a), pending)), strict=True):
                 column.append(values)
