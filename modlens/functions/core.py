@@ -79,6 +79,15 @@ def _running(lengths: str) -> str:
     )
 
 
+def chunks_of(array: str) -> str:
+    """A bound array variable as arrays of ``CHUNK`` items."""
+    return each(
+        f"CASE WHEN size({array}) = 0 THEN cast(array() AS array<int>)"
+        f" ELSE sequence(0, cast(ceil(size({array}) / {CHUNK}) AS int) - 1) END",
+        lambda i: f"slice({array}, {i} * {CHUNK} + 1, {CHUNK})",
+    )
+
+
 def starts_of(lengths: str) -> str:
     """Exclusive running sum of the bound ``array<int>`` variable ``lengths``.
 
@@ -86,11 +95,6 @@ def starts_of(lengths: str) -> str:
     are summed in chunks: a statement with 100,000 references must not cost 100,000 squared.
     """
     direct = each(lengths, lambda _, i: total(f"slice({lengths}, 1, {i})"), index=True)
-    chunks = each(
-        f"sequence(0, cast(ceil(size({lengths}) / {CHUNK}) AS int) - 1)",
-        lambda i: f"slice({lengths}, {i} * {CHUNK} + 1, {CHUNK})",
-    )
-
     def join(parts: str) -> str:
         return "flatten(" + zipped(
             parts,
@@ -98,7 +102,7 @@ def starts_of(lengths: str) -> str:
             lambda part, at: each(_running(part), lambda n: f"{n} + {at}"),
         ) + ")"
 
-    return f"CASE WHEN size({lengths}) <= 16 THEN {direct} ELSE {bind(chunks, join)} END"
+    return f"CASE WHEN size({lengths}) <= 16 THEN {direct} ELSE {bind(chunks_of(lengths), join)} END"
 
 
 def bullet_list(items: str) -> str:

@@ -54,17 +54,9 @@ UP_TO_AS = (
 )
 
 
-def _paren(depth: int) -> str:
-    inner = r"[^()']++" + f"|{LITERAL}"
-    return rf"\((?:{inner}{'|' + _paren(depth - 1) if depth > 1 else ''})*+(?:\)|\z)"
-
-
-# T-SQL nests at most once here (DECIMAL(10,2)); deeper texts are prepared first.
-_PAREN = _paren(8)
-PARAMETER_ITEM = rf"(?:[^,'(]++|{LITERAL}|{_PAREN}|\()++"
-PARAMETER_PARTS = (
-    rf"\A([^ ]++)(?: ((?:[^'(=]++|{LITERAL}|{_PAREN}|\()*+)(?:=([\s\S]*+))?)?\z"
-)
+# One token of a parameter block; items and parts are of blocks whose nested marks are hidden.
+BRACKET_TOKEN = rf"[^'()]++|{LITERAL}|[()]"
+PARAMETER_PARTS = r"\A([^ ]++)(?: ([^=]*+)(?:=([\s\S]*+))?)?\z"
 
 # Statement clean-up, on text whose white space is collapsed.
 BLOCK_WORDS = (

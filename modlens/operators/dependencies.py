@@ -69,16 +69,31 @@ def keep_first(hits: str) -> str:
 
 
 def without_target_reads(hits: str) -> str:
-    """Drop FROM reads of objects the same statement writes (JOIN and USING stay)."""
-    targets = each(where(hits, lambda h: f"{h}.operation = 'Write'"), lambda h: f"{h}.object")
+    """Drop FROM reads of objects the same statement writes (JOIN and USING stay).
 
-    def read_others(written: str) -> str:
-        others = where(
-            hits, lambda h: f"{h}.source != 'FROM' OR NOT array_contains({written}, {h}.object)"
+    ``hits`` has each (object, source) once. Sorted by object with writes in front of the one
+    FROM read, that read stands right behind a write of its object, or stays.
+    """
+    ranked = each(
+        hits,
+        lambda h: f"named_struct('object', {h}.object, 'rank', CASE WHEN {h}.operation = 'Write'"
+        f" THEN 0 WHEN {h}.source = 'FROM' THEN 1 ELSE 2 END, 'hit', {h})",
+    )
+
+    def others(found: str) -> str:
+        written = f"transform({found}, k -> CASE WHEN k.rank = 0 THEN k.object END)"
+        kept = zipped(
+            found,
+            f"concat(array(cast(null AS string)), {written})",
+            lambda k, last: f"CASE WHEN {k}.rank != 1 OR NOT ({k}.object <=> {last})"
+            f" THEN {k}.hit END",
         )
-        return f"CASE WHEN size({written}) = 0 THEN {hits} ELSE {others} END"
+        return f"sort_array(filter({kept}, h -> h IS NOT NULL))"
 
-    return bind(targets, read_others)
+    mixed = (
+        f"exists({hits}, h -> h.operation = 'Write') AND exists({hits}, h -> h.source = 'FROM')"
+    )
+    return f"CASE WHEN {mixed} THEN {bind(f'sort_array({ranked})', others)} ELSE {hits} END"
 
 
 def statement_hits(statement: str, stmt_index: str) -> str:

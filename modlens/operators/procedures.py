@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modlens import schemas
 from modlens.functions import patterns as P
-from modlens.functions.core import bind, each, regex, trim, trim_end, where
+from modlens.functions.core import bind, chunks_of, each, regex, total, trim, trim_end, where
 from modlens.functions.text import collapse_whitespace, normalize_identifier, strip_comments
 
 
@@ -61,15 +61,47 @@ def _parse_item(item: str) -> str:
 
 
 def _hide_nested(block: str) -> str:
-    """Commas and equals signs inside literals and brackets to marks, at any depth."""
-    hidden = f"translate(c, ',=', '{P.MARK}{P.FIELD}')"
-    return (
-        f"aggregate(split({block}, ''), named_struct('depth', 0, 'quoted', false, 'out', ''),"
-        " (a, c) -> named_struct('depth', CASE WHEN a.quoted THEN a.depth"
-        " WHEN c = '(' THEN a.depth + 1 WHEN c = ')' THEN greatest(a.depth - 1, 0)"
-        " ELSE a.depth END, 'quoted', (c = '\\'') != a.quoted, 'out', concat(a.out,"
-        f" CASE WHEN a.quoted OR a.depth > 0 THEN {hidden} ELSE c END)), a -> a.out)"
-    )
+    """Commas and equals signs inside literals and brackets to marks, at any depth.
+
+    The block is cut into tokens once. The depth behind a run of tokens follows from the depth
+    before it: a closing bracket never takes it below zero, so it is the larger of (depth
+    before plus the run's sum) and (depth that the run reaches from zero). So chunks are
+    measured on their own, chained, and marked: no string grows, and no depth is too deep.
+    """
+    tokens = f"regexp_extract_all({block}, {regex(P.BRACKET_TOKEN)}, 0)"
+    delta = "CASE {t} WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END"
+
+    def reach(chunk: str) -> str:
+        one = f"greatest(d + {delta.format(t='t')}, 0)"
+        return f"aggregate({chunk}, 0, (d, t) -> {one})"
+
+    def change(chunk: str) -> str:
+        return total(each(chunk, lambda t: delta.format(t=t)))
+
+    def mark(chunk: str, depth: str) -> str:
+        hidden = f"translate(t, ',=', '{P.MARK}{P.FIELD}')"
+        shown = f"CASE WHEN a.depth > 0 OR startswith(t, '\\'') THEN {hidden} ELSE t END"
+        return (
+            f"aggregate({chunk}, named_struct('depth', {depth}, 'out', cast(array() AS array<string>)),"
+            f" (a, t) -> named_struct('depth', greatest(a.depth + {delta.format(t='t')}, 0),"
+            f" 'out', concat(a.out, array({shown}))), a -> array_join(a.out, ''))"
+        )
+
+    def depths(measured: str) -> str:
+        last = "coalesce(element_at(a, -1), 0)"
+        return (
+            f"aggregate({measured}, array(0), (a, m) -> concat(a, array(greatest({last} + m.change, m.reach))))"
+        )
+
+    def join(chunks: str) -> str:
+        measured = each(chunks, lambda c: f"named_struct('change', {change(c)}, 'reach', {reach(c)})")
+        marked = bind(
+            depths(measured),
+            lambda d: each(chunks, lambda c, i: mark(c, f"{d}[{i}]"), index=True),
+        )
+        return f"array_join({marked}, '')"
+
+    return bind(tokens, lambda t: bind(chunks_of(t), join))
 
 
 def _show_nested(value: str) -> str:
@@ -77,34 +109,23 @@ def _show_nested(value: str) -> str:
 
 
 def parameters_of(block: str) -> str:
-    """``array<struct<name, data_type, default_value>>`` of one parameter block.
-
-    One pattern follows brackets to the depth that T-SQL has. A block that is left with many
-    after its innermost pairs are taken out is prepared character by character instead.
-    """
+    """``array<struct<name, data_type, default_value>>`` of one parameter block."""
 
     def parse(b: str) -> str:
         inner = (
             f"CASE WHEN startswith({b}, '(') AND endswith({b}, ')')"
             f" THEN {trim(f'substr({b}, 2, length({b}) - 2)')} ELSE {b} END"
         )
-        return bind(inner, split_items)
-
-    def split_items(b: str) -> str:
-        outer = f"regexp_replace({b}, {regex(r'[(][^()]*+[)]')}, '')"
-        deep = bind(outer, lambda o: f"length({o}) - length(replace({o}, '(', '')) > 7")
         shown = [
             f"'{field}', {_show_nested(f'p.{field}')}"
             for field in ("name", "data_type", "default_value")
         ]
-        any_depth = (
-            f"transform({bind(_hide_nested(b), items)}, p -> named_struct({', '.join(shown)}))"
-        )
-        return f"CASE WHEN {deep} THEN {any_depth} ELSE {items(b)} END"
+        return f"transform({bind(_hide_nested(inner), items)}, p -> named_struct({', '.join(shown)}))"
 
     def items(b: str) -> str:
-        items = f"regexp_extract_all({b}, {regex(P.PARAMETER_ITEM)}, 0)"
-        bare = each(items, lambda i: trim(f"rtrim(';', {trim(f"rtrim(',', {trim(i)})")})"))
+        bare = each(
+            f"split({b}, ',')", lambda i: trim(f"rtrim(';', {trim(f"rtrim(',', {trim(i)})")})")
+        )
         return each(where(bare, lambda i: f"startswith({i}, '@')"), _parse_item)
 
     none = f"cast(array() AS array<{schemas.PARAMETER}>)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modlens.sources.modules import spread
 
-# Module k has template k % 16. Placeholders: {k} key, {a} k % 97,
+# Module k has template k % 16. Placeholders: {k} key, {a} k % 97,
 # {b} 100 + k % 89, {d} order date, {p} order priority.
 TEMPLATES = [
     "CREATE PROCEDURE dbo.SP_{k}\n    @ID INT\nAS\nBEGIN\n"
@@ -20,11 +20,11 @@ TEMPLATES = [
     "CREATE PROCEDURE SP_{k}\n    @ORDER_NO VARCHAR(20)\nAS\nBEGIN\n    INSERT INTO OUT_{b}\n"
     "    SELECT h.K, SUM(d.QTY) AS Q\n    FROM TB_{a} d\n    JOIN TB_{b} h ON d.K = h.K\n"
     "    GROUP BY h.K\nEND",
-    "CREATE PROCEDURE dbo.SP_{k}\n    @T VARCHAR(100)\nAS\nBEGIN\n    DECLARE @SQL NVARCHAR(MAX)\n"
-    "    SET @SQL = 'SELECT * FROM ' + @T\n    EXEC(@SQL)\nEND",
+    "CREATE PROC job.RUN_{k} @WHAT SYSNAME AS\nDECLARE @S NVARCHAR(900) = N'DROP VIEW ' + @WHAT;\n"
+    "EXEC (@S);\nEXEC job.LOG_{a};",
     "CREATE PROCEDURE dbo.SP_{k}\nAS\nBEGIN\n    SELECT C FROM SRV.DB.dbo.TB_{a}\nEND",
-    "CREATE PROCEDURE dbo.SP_{k}\nAS\nBEGIN\n    SELECT *\n    FROM TB_{a} WITH (NOLOCK)\nEND",
-    "CREATE PROCEDURE dbo.SP_{k}\nAS\nBEGIN\n    UPDATE TB_{a}\n    SET STATUS = 2\nEND",
+    "CREATE PROC job.SEE_{k} AS\nSELECT * FROM TB_{b} WITH (NOLOCK)\nWHERE P <> '{p}'",
+    "CREATE PROC job.ALL_{k} AS\nSET NOCOUNT ON;\nUPDATE TB_{b} SET STATUS = 5, D = '{d}';",
     "CREATE PROCEDURE dbo.SP_{k}\nAS\nDELETE FROM TB_{a} -- WHERE P = '{p}'\n;\n"
     "SELECT C FROM TB_{b};",
     "CREATE PROCEDURE dbo.SP_{k}\nAS\nINSERT INTO #T1 SELECT C FROM TB_{a};\n"
@@ -40,9 +40,9 @@ TEMPLATES = [
     "CREATE PROCEDURE dbo.SP_{k}\nAS\n"
     "MERGE INTO TB_{a} t USING TB_{b} s ON t.ID = s.ID WHEN MATCHED THEN DELETE;\n"
     "EXEC dbo.SP_{a};\nEXEC sp_executesql @S;",
-    "CREATE OR ALTER PROC [dbo].[SP_{k}]\n    @A VARCHAR(20),\n    @FLAG INT = 1 OUTPUT,\n"
-    "    @NAME NVARCHAR(50) = 'A, B, C'\nAS\nSELECT C FROM [dbo].[TB_{a}];\nGO\n"
-    "SELECT C FROM TB_{b} b JOIN TB_{a} a ON a.ID = b.ID",
+    "ALTER PROC [job].[MIX_{k}]\n    @FROM DATE,\n    @N INT = 7 OUTPUT,\n"
+    "    @TEXT NVARCHAR(99) = '{p}, or (none'\nAS\nSELECT C FROM [job].[TB_{b}];\nGO\n"
+    "SELECT C FROM TB_{a} x JOIN TB_{b} y ON y.ID = x.ID",
     "SELECT 1;\nGO\nDELETE t\nFROM TB_{a} t\nJOIN TB_{b} s ON s.ID = t.ID\nWHERE s.F = 1",
 ]
 
@@ -96,17 +96,25 @@ def document_modules(documents: DataFrame) -> DataFrame:
     )
 
 
+def _slices(spark: SparkSession) -> int:
+    """The given tables are one file each, so their few columns are dealt out on purpose."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def short_modules(spark: SparkSession, folder: str) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet").select(
         "o_orderkey", "o_orderdate", "o_orderpriority"
     )
     # The keys are dealt out, not the texts made from them.
-    return order_modules(spread(orders))
+    return order_modules(spread(orders, _slices(spark)))
 
 
 def long_modules(spark: SparkSession, folder: str) -> DataFrame:
     return document_modules(
-        spread(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        spread(
+            spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"),
+            _slices(spark),
+        )
     )
 
 
@@ -115,7 +123,8 @@ def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     orders = spread(
         spark.read.parquet(f"{folder}/orders.parquet").select(
             "o_orderkey", "o_orderdate", "o_orderpriority"
-        )
+        ),
+        _slices(spark),
     )
     key = F.col("o_orderkey")
     changed = F.when(key % 5 == 0, (key + 1) % 16).otherwise(key % 16)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.functions.core import bind, bullet_list, each, text, where
+from modlens.functions.core import bind, bullet_list, each, text, where, zipped
 from modlens.functions.identifiers import is_external, node_id, node_label, report_key
 from modlens.operators.dependencies import objects_of
 from modlens.operators.graph import module_node
@@ -100,19 +100,37 @@ def _diagram() -> str:
     def node(identifier: str, label: str) -> str:
         return f"concat('    ', {identifier}, '[\"', {node_label(label)}, '\"]')"
 
+    def first_places(ids: str) -> str:
+        """For each id whether it stands there for the first time; by sorting, not by search."""
+        placed = each(ids, lambda x, i: f"named_struct('id', {x}, 'at', {i})", index=True)
+
+        def flags(found: str) -> str:
+            flagged = zipped(
+                found,
+                f"concat(array(cast(null AS string)), transform({found}, k -> k.id))",
+                lambda k, last: f"CASE WHEN {k}.id IS NOT NULL"
+                f" THEN named_struct('at', {k}.at, 'first', NOT ({k}.id <=> {last})) END",
+            )
+            return f"transform(sort_array(filter({flagged}, k -> k IS NOT NULL)), k -> k.first)"
+
+        return bind(f"sort_array({placed})", flags)
+
     def lines(procedure: str, ids: str) -> str:
-        def line(d: str, i: str) -> str:
+        def line(d: str, i: str, first: str) -> str:
             this = f"{ids}[{i}]"
-            first = f"{this} != {procedure} AND array_position({ids}, {this}) = {i} + 1"
+            named = f"{this} != {procedure} AND {first}[{i}]"
             return (
-                f"concat(CASE WHEN {first} THEN concat({node(this, f'{d}.object')}, '\\n')"
+                f"concat(CASE WHEN {named} THEN concat({node(this, f'{d}.object')}, '\\n')"
                 f" ELSE '' END, CASE {d}.operation"
                 f" WHEN 'Read' THEN concat('    ', {this}, ' --> ', {procedure})"
                 f" WHEN 'Write' THEN concat('    ', {procedure}, ' --> ', {this})"
                 f" ELSE concat('    ', {procedure}, ' -. executes .-> ', {this}) END)"
             )
 
-        return each("dependencies", line, index=True)
+        return bind(
+            first_places(ids),
+            lambda first: each("dependencies", lambda d, i: line(d, i, first), index=True),
+        )
 
     empty = "array('    %% No dependencies detected')"
     body = bind(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions.identifiers import is_external, report_key
+from modlens.functions.patterns import FIELD
 from modlens.operators.rules import rule_catalog
 from modlens.schemas import SEVERITY_RANK
 from modlens.sources.config import RuleConfig
@@ -127,11 +128,15 @@ def object_usage(traces: DataFrame) -> DataFrame:
     plain counts are enough: they combine before the shuffle, and an object that every
     module uses costs one row per task.
     """
+    # Strings are made distinct by hash, structs pairwise.
     pairs = F.expr(
         "array_distinct(transform(dependencies,"
-        " d -> named_struct('object', d.object, 'operation', d.operation)))"
+        f" d -> concat(d.object, '{FIELD}', d.operation)))"
+    )
+    used = traces.select(F.explode_outer(pairs).alias("pair")).filter(F.col("pair").isNotNull())
+    used = used.select(F.split("pair", FIELD).alias("pair")).select(
+        F.struct(F.col("pair")[0].alias("object"), F.col("pair")[1].alias("operation")).alias("use")
     )
-    used = traces.select(F.explode_outer(pairs).alias("use")).filter(F.col("use").isNotNull())
 
     def modules(operation: str):
         return F.count_if(F.col("use.operation") == operation)

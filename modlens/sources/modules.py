@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain file scan out when it has fewer splits than the cluster cores.
+def spread(scan: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows out over so many partitions; not at all by default, as that shuffles them.
 
-    Text analysis is compute-bound, while one compressed row group is one task. A scan with
-    splits enough is left alone, so a large corpus is never shuffled for this.
+    One compressed row group is one task. A corpus in few large row groups is better cut by
+    ``spark.sql.files.maxPartitionBytes`` and rewritten with smaller ones; this is for the rest.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
+    return scan.repartition(partitions) if partitions else scan
 
 
 def read_module_table(
-    spark: SparkSession, path: str, text: str = "sql", module_id: str = "module_id"
+    spark: SparkSession,
+    path: str,
+    text: str = "sql",
+    module_id: str = "module_id",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """A corpus kept as Parquet. Missing ``path`` / ``snapshot`` columns become null."""
+    """A corpus kept as Parquet. Missing ``path`` / ``snapshot`` columns become null.
+
+    Rows without text are no modules and are left out.
+    """
     table = spark.read.parquet(path)
 
     def optional(name: str):
@@ -32,46 +38,61 @@ def read_module_table(
             optional("path"),
             optional("snapshot"),
             F.col(text).alias("sql"),
-        )
+        ).where("sql IS NOT NULL"),
+        partitions,
     )
 
 
-def _scan_files(spark: SparkSession, folder: str, skip: str | None) -> DataFrame:
+def _below(skip: str):
+    folder = F.lit(skip.rstrip("/") + "/")
+    # Spark gives paths with their scheme ("file:/a/b").
+    plain = F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*+:(?://[^/]*+)?(?=/)", "")
+    return F.startswith("path", folder) | F.startswith(plain, folder)
+
+
+def scan_module_files(
+    spark: SparkSession, folder: str, skip: str | None = None, snapshot: str | None = None
+) -> DataFrame:
+    """``.sql`` files (any case) at any depth below ``folder``, or one such file.
+
+    ``module_id, path, snapshot, sql``; ``sql`` is null where a file is no valid UTF-8. Files
+    below ``skip``, e.g. an output folder, are left out. Spark's scans pass over files of zero
+    bytes, so these are taken from the listing that the driver has made: they are modules with
+    an empty text. Content is read once; to use both :func:`read_module_files` and
+    :func:`bad_module_files`, filter this scan on ``sql`` instead.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[sS][qQ][lL]")
         .load(folder)
-        .select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("sql"))
     )
+    scanned = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("sql"))
+    # The listing gives URIs: percent-coded, with an empty authority spelled out.
+    same = F.regexp_replace("path", r"\A([A-Za-z][A-Za-z0-9+.-]*+:)///", "$1/")
+    same = F.url_decode(F.replace(same, F.lit("+"), F.lit("%2B")))
+    listing = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    empty = listing.select(same.alias("path")).join(
+        files.select("path"), "path", "left_anti"
+    )
+    found = scanned.unionByName(empty.withColumn("sql", F.lit("")))
     if skip:
-        below = F.lit(skip.rstrip("/") + "/")
-        # Spark gives paths with their scheme ("file:/a/b").
-        plain = F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*+:(?://[^/]*+)?(?=/)", "")
-        files = files.filter(~F.startswith("path", below) & ~F.startswith(plain, below))
-    return files
+        found = found.filter(~_below(skip))
+    return found.select(
+        F.col("path").alias("module_id"),
+        "path",
+        F.lit(snapshot).cast("string").alias("snapshot"),
+        "sql",
+    )
 
 
 def read_module_files(
     spark: SparkSession, folder: str, skip: str | None = None, snapshot: str | None = None
 ) -> DataFrame:
-    """``.sql`` files (any case) at any depth below ``folder``, or one such file.
-
-    Files below ``skip``, e.g. an output folder, are left out. Files that are no valid UTF-8 are
-    left out too: see :func:`bad_module_files`. A file of zero bytes yields no row.
-    """
-    return (
-        _scan_files(spark, folder, skip)
-        .filter(F.col("sql").isNotNull())
-        .select(
-            F.col("path").alias("module_id"),
-            "path",
-            F.lit(snapshot).cast("string").alias("snapshot"),
-            "sql",
-        )
-    )
+    """The files of :func:`scan_module_files` that are valid UTF-8, empty ones included."""
+    return scan_module_files(spark, folder, skip, snapshot).filter(F.col("sql").isNotNull())
 
 
 def bad_module_files(spark: SparkSession, folder: str, skip: str | None = None) -> DataFrame:
     """Paths of the files that :func:`read_module_files` cannot read as UTF-8."""
-    return _scan_files(spark, folder, skip).filter(F.col("sql").isNull()).select("path")
+    return scan_module_files(spark, folder, skip).filter(F.col("sql").isNull()).select("path")

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+import oracle
+from modlens.plans.queries import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+ORACLE = oracle.statements()
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 
@@ -32,6 +33,8 @@ def comparable(columns, rows):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from modlens import analyze
-from modlens.plans import corpus, tables
+from modlens.plans import corpus, documents, tables
 
 LONG = {
     "no_hit": "lorem ipsum dolor sit amet " * 20_000,
@@ -81,3 +81,44 @@ def test_scan_reads_needed_columns(spark):
     text = plan(tables.risk_summary(analyze(modules)))
     assert "o_totalprice" not in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string>" in text
+
+
+def nested(depth):
+    calls = "g(" * depth + "1, 2" + ")" * depth
+    return f"CREATE PROC p @a INT = f(')', {calls}), @b INT AS SELECT 1"
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 10, 40, 2000, 80_000])
+def test_parameters_nest_to_any_depth(modules, depth):
+    started = time.time()
+    found = analyze(modules({"m": nested(depth)})).select("parameters").first().parameters
+    assert time.time() - started < 20
+    assert [(p.name, p.data_type) for p in found] == [("@a", "INT"), ("@b", "INT")]
+    assert found[0].default_value == nested(depth)[len("CREATE PROC p @a INT = ") : -len(", @b INT AS SELECT 1")]
+
+
+OF_MANY = {
+    "dependencies": tables.dependencies,
+    "usage": tables.object_usage,
+    "diagrams": documents.diagrams,
+    "lists": documents.object_lists,
+    "flows": documents.flows,
+    "report": documents.report_md,
+    "trace": documents.trace_json,
+    "context": documents.context_json,
+    "context_text": documents.context_text,
+}
+
+
+@pytest.mark.parametrize("name", list(OF_MANY))
+def test_time_follows_the_number_of_references(modules, name):
+    def seconds(n):
+        text = " ".join(f"INSERT INTO t{i} SELECT 1 FROM t{i + 1}" for i in range(n // 2))
+        frame = OF_MANY[name](analyze(modules({"m": text})))
+        started = time.time()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.time() - started
+
+    seconds(2_000)
+    few = max(1.0, seconds(20_000))
+    assert seconds(40_000) < 3 * few

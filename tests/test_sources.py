@@ -19,13 +19,21 @@ def test_folder_scan(spark, tmp_path):
     (tmp_path / "deep" / "d.txt").write_text("SELECT 2")
     (tmp_path / "out" / "e.sql").write_text("SELECT 3")
     (tmp_path / "outer" / "f.sql").write_text("SELECT 4")
+    (tmp_path / "outer" / "no thing+50%é.sql").write_text("")
+    (tmp_path / "out" / "none.sql").write_text("")
     found = read_module_files(spark, str(tmp_path), skip=str(tmp_path / "out")).collect()
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found) == ["a.sql", "b.SQL", "f.sql"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found) == [
+        "a.sql",
+        "b.SQL",
+        "f.sql",
+        "no thing+50%é.sql",
+    ]
+    assert [r.sql for r in found if "no thing" in r.path] == [""]
     assert {r.sql for r in found} >= {GOLDEN["basic"], "SELECT 1 -- é\n"}
     bad = bad_module_files(spark, str(tmp_path)).collect()
     assert [r.path.rsplit("/", 1)[1] for r in bad] == ["c.Sql"]
     one = analyze(read_module_files(spark, str(tmp_path / "a.sql"), snapshot="s")).collect()
-    assert [(t.name, t.snapshot) for t in one] == [("dbo.SP_BASIC", "s")]
+    assert [(t.name, t.snapshot) for t in one] == [("shop.FindCart", "s")]
     stems = tables.procedures(analyze(read_module_files(spark, str(tmp_path / "deep")))).collect()
     assert [r.procedure for r in stems] == ["b"]
 
@@ -46,7 +54,7 @@ def test_tables_round_trip(spark, modules, tmp_path):
     assert spark.read.parquet(str(tmp_path / "reports")).count() == len(GOLDEN)
     sinks.write_trace_json(traces, str(tmp_path / "json"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "json")).collect()]
-    assert {json.loads(line)["name"] for line in lines} >= {"dbo.SP_BASIC"}
+    assert {json.loads(line)["name"] for line in lines} >= {"shop.FindCart"}
 
 
 def test_only_arrived_modules_are_analyzed(spark, modules, tmp_path):

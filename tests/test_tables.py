@@ -12,7 +12,7 @@ def corpus(modules):
     texts = {
         **GOLDEN,
         "empty": "",
-        "unnamed": "EXEC dbo.SP_BASIC; SELECT 1 FROM [TB_BASIC] JOIN TB_BASIC ON 1=1",
+        "unnamed": "EXEC shop.FindCart; SELECT 1 FROM [shop].[Carts] JOIN shop.Carts ON 1=1",
         "same": GOLDEN["basic"],
     }
     return analyze(modules(texts)).persist()
@@ -36,7 +36,7 @@ def test_index_agrees_with_child_tables(corpus):
     # one table through FROM and JOIN counts twice, but is one object
     assert index["unnamed"].read_count == 2
     lists = {r.module_id: r for r in documents.object_lists(corpus).collect()}
-    assert lists["unnamed"].reads == "TB_BASIC"
+    assert lists["unnamed"].reads == "shop.Carts"
     assert tables.risk_summary(corpus).first().asDict() == {
         "scanned": 11,
         "high": 3,
@@ -47,25 +47,25 @@ def test_index_agrees_with_child_tables(corpus):
 
 def test_object_usage(corpus):
     usage = {r.object: r for r in tables.object_usage(corpus).collect()}
-    assert (usage["TB_BASIC"].readers, usage["TB_BASIC"].writers) == (3, 0)
-    assert usage["dbo.SP_BASIC"].callers == 1
-    assert usage["IPPCS_PROD.MAIN_DB.dbo.TB_R_DAILY_ORDER_MANIFEST"].is_external
+    assert (usage["shop.Carts"].readers, usage["shop.Carts"].writers) == (3, 2)
+    assert usage["shop.FindCart"].callers == 1
+    assert usage["EASTHUB.Warehouse.dbo.Shelf"].is_external
 
 
 def test_graph(corpus):
     nodes = {r.node_id: r.label for r in graph.graph_nodes(corpus).collect()}
     edges = {tuple(r) for r in graph.graph_edges(corpus).collect()}
-    assert nodes["N_dbo_SP_BASIC"] == "dbo.SP_BASIC"
+    assert nodes["N_shop_FindCart"] == "shop.FindCart"
     assert nodes["N_UNKNOWN_PROC"] == "UNKNOWN_PROC"
-    assert ("N_TB_BASIC", "N_dbo_SP_BASIC", "Read") in edges
-    assert ("N_dbo_SP_DELETE_JOIN", "N_TB_TARGET", "Write") in edges
-    assert ("N_UNKNOWN_PROC", "N_dbo_SP_BASIC", "Execute") in edges
+    assert ("N_shop_Carts", "N_shop_FindCart", "Read") in edges
+    assert ("N_shop_DropStale", "N_shop_Carts", "Write") in edges
+    assert ("N_UNKNOWN_PROC", "N_shop_FindCart", "Execute") in edges
     assert {n for e in edges for n in e[:2]} <= set(nodes)
     diagrams = {r.module_id: r.diagram for r in documents.diagrams(corpus).collect()}
     assert diagrams["empty"].endswith("    %% No dependencies detected")
     # each node once, each edge as often as found
-    assert diagrams["unnamed"].count('N_TB_BASIC["') == 1
-    assert diagrams["unnamed"].count("N_TB_BASIC --> N_UNKNOWN_PROC") == 2
+    assert diagrams["unnamed"].count('N_shop_Carts["') == 1
+    assert diagrams["unnamed"].count("N_shop_Carts --> N_UNKNOWN_PROC") == 2
 
 
 def test_diff_with_itself_is_empty(corpus):
@@ -120,7 +120,7 @@ def test_diff_of_named_pairs(spark, corpus):
         schemas.PAIRS,
     )
     rows = {r.pair_id: r for r in diff.diff_pairs(corpus, pairs).collect()}
-    assert rows["1"].tables_written_added == ["TB_R_DAILY_ORDER_MANIFEST"]
+    assert rows["1"].tables_written_added == ["shop.Carts"]
     assert rows["2"].presence == "paired" and rows["2"].tables_read_added == []
     assert rows["3"].presence == "removed"
 
