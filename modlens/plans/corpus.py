@@ -131,3 +131,34 @@ def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     before = order_modules(orders.filter(key % 11 != 0))
     after = order_modules(orders.filter(key % 7 != 0), changed)
     return before, after
+
+
+def arrivals(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The short modules in three arrivals, and a fourth with a tenth of them rewritten."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        "o_orderkey", "o_orderdate", "o_orderpriority"
+    )
+    orders = spread(orders, _slices(spark))
+    key = F.col("o_orderkey")
+    changed = order_modules(orders.filter(key % 10 == 0), (key + 1) % 16)
+    return [*[order_modules(orders.filter(key % 3 == n)) for n in range(3)], changed]
+
+
+def nested_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """Modules whose parameter defaults nest 1 to 40 calls, with marks inside literals."""
+    key = F.col("o_orderkey")
+    depth = (key % 40 + 1).cast("int")
+    return spark.read.parquet(f"{folder}/orders.parquet").select(
+        key.cast("string").alias("module_id"),
+        F.concat(
+            F.lit("CREATE PROC p_"),
+            key.cast("string"),
+            F.lit(" @a INT = f(')', "),
+            F.repeat(F.lit("g("), depth),
+            F.lit("'x,=(', 1"),
+            F.repeat(F.lit(")"), depth),
+            F.lit("), @b CHAR("),
+            (key % 9 + 1).cast("string"),
+            F.lit(") = '=,', @c INT AS SELECT 1"),
+        ).alias("sql"),
+    )

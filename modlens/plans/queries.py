@@ -14,7 +14,8 @@ from modlens.plans import corpus, documents, tables
 from modlens.plans.analyze import analyze, prepare
 from modlens.session import shared_folder
 from modlens.sources.config import RuleConfig
-from modlens.streaming.incremental import append_traces
+from modlens.sources.sinks import write_reports, write_tables
+from modlens.streaming.incremental import append_traces, arriving_modules, latest_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,25 +202,46 @@ def _join_inflation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _incremental_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """The orders table as a stream of files: analyzed, appended, read back."""
-    table = f"{folder}/orders.parquet"
-    arriving = (
-        spark.readStream.schema(spark.read.parquet(table).schema)
-        .option("pathGlobFilter", "orders.parquet")
-        .parquet(folder)
-    )
+def _arrived(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored traces of four arrivals, each analyzed by a run of its own."""
     out = shared_folder(spark, "incremental")
-    append_traces(
-        corpus.order_modules(arriving.repartition(spark.sparkContext.defaultParallelism)),
-        f"{out}/traces",
-        f"{out}/checkpoint",
-    ).awaitTermination()
-    return tables.findings(spark.read.parquet(f"{out}/traces")).select(
+    for modules in corpus.arrivals(spark, folder):
+        modules.write.mode("append").parquet(f"{out}/modules")
+        stream = arriving_modules(spark, f"{out}/modules")
+        append_traces(stream, f"{out}/traces", f"{out}/checkpoint").awaitTermination()
+    return latest_traces(spark.read.parquet(f"{out}/traces"))
+
+
+def _incremental_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.findings(_arrived(spark, folder)).select(
         "module_id", "rule_id", "severity", "rank"
     )
 
 
+def _latest_index(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.module_index(_arrived(spark, folder)).select(
+        "module_id", "procedure", "statement_count", "read_count", "write_count", "risk_level"
+    )
+
+
+def _nested_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.parameters(analyze(corpus.nested_modules(spark, folder)))
+
+
+def _stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables written by snapshot; the index as read back."""
+    out = shared_folder(spark, "tables")
+    write_tables(_traces(spark, folder), out)
+    index = spark.read.parquet(f"{out}/module_index").drop("snapshot")
+    return index.withColumn("risk_rules", F.array_join("risk_rules", ","))
+
+
+def _stored_reports(spark: SparkSession, folder: str) -> DataFrame:
+    out = shared_folder(spark, "reports")
+    write_reports(_traces(spark, folder), out)
+    return spark.read.parquet(out)
+
+
 QUERIES: dict[str, Query] = {
     # text
     "comment_stripping": _on_modules(code="code"),
@@ -240,6 +262,7 @@ QUERIES: dict[str, Query] = {
     "module_names": _on_traces(lambda t: t.select("module_id", "name", "procedure")),
     "module_bodies": _on_traces(lambda t: t.select("module_id", "body")),
     "parameter_list": _on_traces(tables.parameters),
+    "nested_parameters": _nested_parameters,
     "dependency_list": _on_traces(tables.dependencies),
     "temp_table_list": _on_traces(tables.temp_tables),
     "statement_list": _on_traces(_statement_list),
@@ -283,4 +306,8 @@ QUERIES: dict[str, Query] = {
     "join_inflation": _join_inflation,
     # streaming
     "incremental_findings": _incremental_findings,
+    "latest_index": _latest_index,
+    # sinks
+    "stored_index": _stored_index,
+    "stored_reports": _stored_reports,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tomllib
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -43,6 +44,11 @@ class RuleConfig:
         """A document with an optional ``rules`` object."""
         return cls(json.loads(text).get("rules", {}))
 
+    @classmethod
+    def from_toml(cls, text: str) -> RuleConfig:
+        """A document with an optional ``[rules]`` table."""
+        return cls(tomllib.loads(text).get("rules", {}))
+
     @classmethod
     def from_dataframe(cls, config: DataFrame, known: list[str]) -> RuleConfig:
         """Rows of ``rule_id, enabled, severity``; for rules in ``known`` only.

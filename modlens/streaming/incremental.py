@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modlens import schemas
@@ -19,6 +20,26 @@ def arriving_modules(spark: SparkSession, folder: str, files_per_batch: int = 10
     )
 
 
+def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the ``.sql`` files (any case) below a folder that hold some valid UTF-8."""
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.[sS][qQ][lL]")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+    )
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    found = files.select(
+        F.col("path").alias("module_id"),
+        "path",
+        F.lit(None).cast("string").alias("snapshot"),
+        text.alias("sql"),
+    )
+    return found.where("sql IS NOT NULL")
+
+
 def append_traces(
     modules: DataFrame,
     out: str,
@@ -28,6 +49,9 @@ def append_traces(
 ) -> StreamingQuery:
     """Analyze what is new in the stream ``modules``, append it to ``out``, then stop.
 
+    Traces get the time of their batch as ``arrived``, and folders by snapshot. A module that
+    comes again is appended again: see :func:`latest_traces`.
+
     The analysis looks at one module at a time, so the stream needs no state and no
     watermark. Files already seen are kept in ``checkpoint``, which must be on shared
     storage, as must ``out``; the file sink writes each batch exactly once. Give
@@ -38,10 +62,19 @@ def append_traces(
         modules = modules.repartition(partitions)
     return (
         analyze(modules, config)
+        .withColumn("arrived", F.current_timestamp())
         .writeStream.format("parquet")
+        .partitionBy("snapshot")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_traces(stored: DataFrame) -> DataFrame:
+    """Each module's trace that arrived last; of one batch, the one of the greatest path and body."""
+    rest = [c for c in stored.columns if c != "module_id"]
+    last = F.max_by(F.struct(*rest), F.struct("arrived", "path", "body"))
+    return stored.groupBy("module_id").agg(last.alias("last")).select("module_id", "last.*")

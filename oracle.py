@@ -457,6 +457,18 @@ _PRESENCE = (
 )
 
 
+NESTED_PARAMETERS = r"""
+WITH m AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS module_id, CAST(o_orderkey % 40 + 1 AS INTEGER) AS depth,
+    o_orderkey % 9 + 1 AS width FROM orders
+)
+SELECT module_id, 1 AS pos, '@a' AS name, 'INT' AS data_type,
+  'f('')'', ' || repeat('g(', depth) || $$'x,=(', 1$$ || repeat(')', depth) || ')' AS default_value FROM m
+UNION ALL SELECT module_id, 2, '@b', 'CHAR(' || width || ')', $$'=,'$$ FROM m
+UNION ALL SELECT module_id, 3, '@c', 'INT', NULL FROM m
+"""
+
+
 def statements() -> dict[str, str]:
     short = {**analysis(short_modules()), **_documents()}
     configured = analysis(short_modules(), config=CONFIG)
@@ -517,11 +529,23 @@ def statements() -> dict[str, str]:
         "context_json": f"SELECT module_id, {_CONTEXT_JSON} AS context_json FROM docs",
         "report_md": f"SELECT module_id, {key.format(name_or_stem)} AS report_key, {_report()} AS report_md FROM docs",
         "context_text": f"SELECT module_id, {_context()} AS context_text FROM docs",
-        "incremental_findings": "SELECT module_id, rule_id, severity, rank FROM findings",
     }
     result = {name: _with(short, select) for name, select in short_queries.items()}
+    rewritten = analysis(
+        short_modules("CASE WHEN o_orderkey % 10 = 0 THEN (o_orderkey + 1) % 16 ELSE o_orderkey % 16 END")
+    )
+    result["stored_index"], result["stored_reports"] = result["module_index"], result["report_md"]
     result.update(
         {
+            "incremental_findings": _with(
+                rewritten, "SELECT module_id, rule_id, severity, rank FROM findings"
+            ),
+            "latest_index": _with(
+                rewritten,
+                f"SELECT module_id, {name_or_stem} AS procedure, statement_count, read_count,"
+                " write_count, risk_level FROM metrics",
+            ),
+            "nested_parameters": NESTED_PARAMETERS,
             "findings_with_config": _with(
                 configured, "SELECT module_id, rule_id, severity, rank FROM findings"
             ),

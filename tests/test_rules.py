@@ -187,3 +187,36 @@ def test_dropped_literals_equal_blanked(spark):
             text.blank_literals("s")
         ).rlike(pattern)
         assert rows.filter(~same).count() == 0
+
+
+# Each rule's severity.
+SEVERITIES = {
+    "select_star": "Low",
+    "nolock_used": "Medium",
+    "dynamic_sql": "Medium",
+    "linked_server": "Medium",
+    "update_without_where": "High",
+    "delete_without_where": "High",
+    "insert_select_no_distinct": "Medium",
+    "multi_join_aggregation": "High",
+    "cursor_used": "Medium",
+    "transaction_without_trycatch": "Medium",
+    "trycatch_without_rollback": "High",
+    "hardcoded_date": "Low",
+    "status_magic_number": "Low",
+    "temp_table_chain": "Low",
+}
+
+
+def test_catalog():
+    from modlens.operators.rules import RULES
+
+    assert {r.rule_id: r.severity for r in RULES} == SEVERITIES
+
+
+def test_toml():
+    from modlens import RuleConfig
+
+    config = RuleConfig.from_toml('[rules]\nselect_star = false\nnolock_used = "High"\n')
+    assert config == RuleConfig({"select_star": False, "nolock_used": "High"})
+    assert RuleConfig.from_toml("") == RuleConfig()
