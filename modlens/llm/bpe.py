@@ -26,15 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Symbols merged at once, words kept, and characters of text per Arrow batch: bounds of memory, not of results.
+from modlens.llm import memory
+
+#: Symbols merged at once, words kept, and bytes of text worked on at once: bounds of memory, not of results.
 BLOCK_SYMBOLS = 400_000
 KEPT_WORDS = 250_000
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 
 #: Unicode's white space, without the four separators that Python's str.split adds.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -218,6 +221,11 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each."""
+    return slices(pc.binary_length(texts).to_pylist(), most)
+
+
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so much text each."""
     start = total = 0
@@ -230,18 +238,27 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the ids (array of int) and the text decoded from them; tokenizer: path of its file on every node."""
     kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(unused(df, "__text")))
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.only("bpe", load.cache_clear)
         bpe = load(os.fspath(tokenizer))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                coded, plain = bpe.encode_batch(texts[a:b])
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in text_slices(texts, BATCH_BYTES):
+                coded, plain = bpe.encode_batch(texts.slice(a, b - a).to_pylist())
                 offsets = np.zeros(b - a + 1, dtype=np.int32)
                 np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32), type=pa.int32())

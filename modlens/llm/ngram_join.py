@@ -40,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modlens.llm import memory
 from modlens.llm.components import connected_components
 from modlens.llm.exchange import SENT, Answers, answers, part_of, sender
 from modlens.session import shared_folder
@@ -96,6 +97,7 @@ def shingles(text: str) -> np.ndarray:
 
 
 def rarity_prints(text: str) -> np.ndarray:
+    memory.only("shingles", KNOWN.clear)
     return shingles(text) >> np.uint64(64 - RARITY_BITS)
 
 
@@ -134,6 +136,7 @@ def prepare(df: DataFrame, folder: str, doc_id: str, text: str) -> DataFrame:
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.only("shingles", KNOWN.clear)
         got = Answers(f"{folder}/answers")
         number = TaskContext.get().partitionId() << 33
         names = ["row", "doc_id", "s", "digest", "shared", "classes", "prefix", "need", "map"]

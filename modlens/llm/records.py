@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modlens.llm import pieces
-from modlens.llm.bpe import slices
+from modlens.llm import memory, pieces
+from modlens.llm.bpe import text_slices
 from modlens.llm.crc32c import crc32c, masked
 from modlens.llm.files import open_store
 
-#: Characters of text per block that is encoded and written at once.
-BLOCK_CHARS = 2_000_000
+#: Bytes of text per block that is encoded and written at once.
+BLOCK_BYTES = 2_000_000
 HEAD = "<qBB"
 INDEX = "shard int, line long, file string, offset long, length long, doc_id long, n_tokens long"
 
@@ -70,6 +70,7 @@ def write_token_records(df: DataFrame, folder: str, tokenizer: str, end_id: int,
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.only("pieces", pieces.load.cache_clear)
         bpe = pieces.load(tokenizer)
         shard = TaskContext.get().partitionId()
         first = next(batches, None)
@@ -82,9 +83,9 @@ def write_token_records(df: DataFrame, folder: str, tokenizer: str, end_id: int,
         end = np.array([end_id], dtype=bpe.wide).tobytes()
         with store.open_output_stream(f"{root}/{name}") as out:
             for batch in (b for some in ([first], batches) for b in some):
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
-                    coded = [c + end for c in bpe.ids(texts[a:b])]
+                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                for a, b in text_slices(texts, BLOCK_BYTES):
+                    coded = [c + end for c in bpe.ids(texts.slice(a, b - a).to_pylist())]
                     frames = frame([struct.pack(HEAD, k or 0, k is not None, bpe.wide.itemsize) + c for k, c in zip(keys[a:b], coded, strict=True)])
                     lengths = np.array([len(f) for f in frames], dtype=np.int64)
                     out.write(b"".join(frames))

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm import pieces
-from modlens.llm.bpe import slices
+from modlens.llm import memory, pieces
+from modlens.llm.bpe import text_slices
 
-BLOCK_CHARS = 2_000_000
+BLOCK_BYTES = 2_000_000
 RULES = ("first", "last", "most")
 
 
@@ -87,13 +87,14 @@ def section_tokens(df: DataFrame, tokenizer: str, rule: str = "first", doc_id: s
         return [part.column(k).to_pylist() for k in (2, 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.only("pieces", pieces.load.cache_clear)
         bpe = pieces.load(tokenizer, spans=True)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices([len(t) for t in texts], BLOCK_CHARS):
+            for lo, hi in text_slices(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(lo, hi - lo)
+                texts = part.column(1).to_pylist()
                 of, number, begin, stop, tokens, over = [], [], [], [], [], []
-                for i, (spans, starts, ends) in enumerate(zip(bpe.token_spans(texts[lo:hi]), *given(part, texts[lo:hi]), strict=True)):
+                for i, (spans, starts, ends) in enumerate(zip(bpe.token_spans(texts), *given(part, texts), strict=True)):
                     starts, ends = (np.array(x or [], dtype=np.int64) for x in (starts, ends))
                     n = len(starts)
                     section, crossing = attribute(*spans, starts, ends, rule)

@@ -31,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modlens.llm import memory
+from modlens.llm.bpe import unused
+
 #: Bounds of the training sample: documents of each label, and characters of a document that may be in it.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 20_000
 #: Words that the toxic and the ordinary dictionary are trained on, and the dictionaries' bytes.
@@ -43,7 +46,7 @@ REPEATS = 4
 STEPS = (4, 5, 6, 7, 8, 9)
 MOST = 40
 #: Word margins kept by a worker in each of two generations: a bound of memory.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: The repeat offsets that a trained dictionary has before its content: a fixed value of the format.
 OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
@@ -170,9 +173,10 @@ def score_text(model: Model, text: str) -> float:
 def toxicity_scores(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Adds the score; a column of that name is replaced."""
     kept = [f for f in df.schema.fields if f.name != score]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(unused(df, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.only("toxicity", margins_of.cache_clear)
         for batch in batches:
             scores = [score_text(model, t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64())], names=[*[f.name for f in kept], score])
