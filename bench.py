@@ -29,6 +29,9 @@ HEADLINE = [
     "long_module_text",
     "long_module_findings",
     "long_module_dependencies",
+    "dense_module_dependencies",
+    "dense_module_usage",
+    "nested_parameters",
     "duplicate_keys",
     "join_inflation",
     "incremental_findings",

@@ -162,3 +162,20 @@ def nested_modules(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(") = '=,', @c INT AS SELECT 1"),
         ).alias("sql"),
     )
+
+
+def dense_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """Modules of about 2,000 orders each, with two references per order and no semicolon."""
+    key = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
+    line = F.concat(
+        F.lit(" INSERT INTO d.T"),
+        (key % 997).cast("string"),
+        F.lit(" SELECT C FROM d.T"),
+        (key % 1009).cast("string"),
+    )
+    groups = orders.groupBy(F.floor(key / 8000).cast("string").alias("module_id")).agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines")
+    )
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
+    return groups.select("module_id", F.concat(F.lit("CREATE PROC d.P AS"), text).alias("sql"))

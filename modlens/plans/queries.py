@@ -162,6 +162,15 @@ def _long_dependencies(spark: SparkSession, folder: str) -> DataFrame:
     return tables.dependencies(traces).select("module_id", "ord", "object", "operation", "source")
 
 
+def _dense_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    traces = analyze(corpus.dense_modules(spark, folder))
+    return tables.dependencies(traces).select("module_id", "ord", "object", "operation", "source")
+
+
+def _dense_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.object_usage(analyze(corpus.dense_modules(spark, folder))).drop("is_external")
+
+
 def _report_keys(spark: SparkSession, folder: str) -> DataFrame:
     parts = spark.read.parquet(f"{folder}/part.parquet")
     return parts.select(
@@ -299,6 +308,8 @@ QUERIES: dict[str, Query] = {
     "long_module_text": _long_text,
     "long_module_findings": _long_findings,
     "long_module_dependencies": _long_dependencies,
+    "dense_module_dependencies": _dense_dependencies,
+    "dense_module_usage": _dense_usage,
     # checks on data
     "duplicate_keys": _duplicate_keys,
     "duplicate_brands": _duplicate_brands,

@@ -457,6 +457,11 @@ _PRESENCE = (
 )
 
 
+DENSE_MODULES = (
+    "SELECT CAST(o_orderkey // 8000 AS VARCHAR) AS module_id, 'CREATE PROC d.P AS' || string_agg("
+    "' INSERT INTO d.T' || (o_orderkey % 997) || ' SELECT C FROM d.T' || (o_orderkey % 1009), ''"
+    " ORDER BY o_orderkey) AS sql FROM orders GROUP BY 1"
+)
 NESTED_PARAMETERS = r"""
 WITH m AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS module_id, CAST(o_orderkey % 40 + 1 AS INTEGER) AS depth,
@@ -473,6 +478,7 @@ def statements() -> dict[str, str]:
     short = {**analysis(short_modules()), **_documents()}
     configured = analysis(short_modules(), config=CONFIG)
     long = analysis(LONG_MODULES)
+    dense = analysis(DENSE_MODULES)
     snapshots = _snapshot_analysis()
     masked = f"array_to_string(list_transform(regexp_extract_all(body, {q(LITERAL + "|[^']+")}), lambda t: CASE WHEN starts_with(t, '''') THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')"
     levels = (
@@ -577,6 +583,16 @@ def statements() -> dict[str, str]:
             "long_module_dependencies": _with(
                 long, "SELECT module_id, ord, object, operation, source FROM deps"
             ),
+            "dense_module_dependencies": _with(
+                dense, "SELECT module_id, ord, object, operation, source FROM deps"
+            ),
+            "dense_module_usage": _with(
+                dense,
+                "SELECT object, " + ", ".join(
+                    f"count(DISTINCT module_id) FILTER (operation = '{o}') AS {n}"
+                    for o, n in (("Read", "readers"), ("Write", "writers"), ("Execute", "callers"))
+                ) + " FROM deps GROUP BY 1",
+            ),
             "report_keys": "SELECT p_partkey, "
             + key.format("'[' || p_name || '] #' || p_type || '.' || p_brand")
             + " AS report_key, p_name || '.v1' AS file_stem FROM part",
