@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept in each of two generations: a bound of memory, not of results.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 
 RUNS = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -35,9 +35,30 @@ def whole(piece: str) -> str:
 
 
 class Kept(dict):
-    """Codings of the latest pieces; `older` holds those before."""
+    """Codings of the latest pieces. A piece that has none yet gives None and is noted in `fresh`."""
 
-    older: dict = {}
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+        self.fresh: dict[str, None] = {}
+
+    def __missing__(self, piece: str):
+        coding = self.older.get(piece)
+        if coding is None:
+            self.fresh[piece] = None
+        else:
+            self[piece] = coding
+        return coding
+
+    def learn(self, code, written) -> None:
+        """Codes what is noted; what was kept KEPT_PIECES ago and not used since goes."""
+        fresh, self.fresh = list(self.fresh), {}
+        self.update(zip(fresh, code([written(p) for p in fresh]), strict=True))
+
+    def age(self) -> None:
+        if len(self) > KEPT_PIECES:
+            self.older = dict(self)
+            self.clear()
 
 
 class Pieces:
@@ -62,32 +83,26 @@ class Pieces:
         kind = "H" if self.wide.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def learn(self, kept: Kept, pieces: set[str], written) -> None:
-        fresh = []
-        for piece in pieces:
-            if (coding := kept.older.get(piece)) is not None:
-                kept[piece] = coding
-            else:
-                fresh.append(piece)
-        kept.update(zip(fresh, self.code([written(p) for p in fresh]), strict=True))
-
     def look_up(self, texts: list[str]) -> list[list]:
         """The codings of the pieces of each text."""
-        for kept in (self.firsts, self.others):
-            if len(kept) > KEPT_PIECES:
-                kept.older = dict(kept)
-                kept.clear()
+        firsts, others = self.firsts, self.others
+        firsts.age()
+        others.age()
         split = [cut(t) for t in texts]
-        self.learn(self.firsts, {pieces[0] for pieces in split} - self.firsts.keys(), lambda p: p)
-        get = self.others.get
-        found = [list(map(get, pieces)) for pieces in split]
-        lacking = [i for i, codings in enumerate(found) if None in codings]
-        if lacking:
-            self.learn(self.others, {p for i in lacking for p, c in zip(split[i], found[i], strict=True) if c is None}, whole)
-            for i in lacking:
-                found[i] = list(map(get, split[i]))
+        found = []
+        for pieces in split:
+            firsts[pieces[0]]  # notes it
+            codings = list(map(others.__getitem__, pieces[1:]))
+            codings.insert(0, b"")
+            found.append(codings)
+        firsts.learn(self.code, lambda p: p)
+        others.learn(self.code, whole)
         for pieces, codings in zip(split, found, strict=True):
-            codings[0] = self.firsts[pieces[0]]
+            codings[0] = firsts[pieces[0]]
+            k = 0
+            for _ in range(codings.count(None)):
+                k = codings.index(None, k)
+                codings[k] = others[pieces[k]]
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
