@@ -23,6 +23,8 @@ null ids come first; an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,7 +73,7 @@ def listed(classes: DataFrame, rarity: DataFrame) -> DataFrame:
     """A row per line and prefix token: token, id, doc_id, line_no, n (tokens), pos, map."""
     with_classes = classes.withColumn("classes", rarity.scalar())
     of = lambda t: F.get(F.get("classes", F.shiftright(slot(t), ROW_BITS)), slot(t).bitwiseAND((1 << ROW_BITS) - 1))
-    rows = with_classes.select("id", "doc_id", "line_no", F.array_sort(F.transform(tokens("line"), lambda t: F.struct(of(t).alias("class"), t.alias("token")))).alias("t"))
+    rows = with_classes.select("id", "doc_id", "line_no", F.sort_array(F.transform(tokens("line"), lambda t: F.struct(of(t).alias("class"), t.alias("token")))).alias("t"))
     n = F.size("t")
     prefix = n - F.ceil(F.lit(THRESHOLD_PERCENT) * n / 100).cast("int") + 1
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["token"].bitwiseAND(63).cast("int"))))
@@ -97,12 +99,15 @@ def earlier(a: str, b: str) -> Column:
     return place(a) < place(b)
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs (a before b) whose words are similar enough, with the place of a."""
     words = F.array_distinct(F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), ""))
+    # The lines are moved once, and only those of candidates further on.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    classes = stored(classes.join(ids, "id", "left_semi"))
     left = classes.select(F.col("id").alias("a"), words.alias("words_a"), "doc_id", "line_no")
     right = classes.select(F.col("id").alias("b"), words.alias("words_b"))
-    both = pairs.distinct().join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
     union = F.size("words_a") + F.size("words_b") - F.col("shared")
     return both.where(100 * F.col("shared") >= THRESHOLD_PERCENT * union).select("a", "b", F.struct("doc_id", "line_no").alias("place"))
@@ -126,11 +131,13 @@ def line_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     front = F.first(F.struct("id", "doc_id", "line_no", "n", "pos", "map")).over(Window.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "line_no", "id").rowsBetween(Window.unboundedPreceding, 0))
     led = lists.withColumn("f", front).select("f", F.struct("id", "doc_id", "line_no", "n", "pos", "map").alias("l"))
     near = led.where(F.col("f.id") != F.col("l.id")).where(may_match("f", "l")).select(F.col("f.id").alias("a"), F.col("l.id").alias("b"))
-    first = stored(verified(near, classes), "first")
+    near = stored(near.distinct(), "near")
+    first = stored(verified(near, classes, lambda x: stored(x, "near-lines")), "first")
     waiting = lists.join(first.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     a, b = lists.alias("a"), waiting.alias("b")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier("a", "b") & may_match("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    second = verified(rest, classes)
+    rest = stored(rest.distinct(), "rest")
+    second = verified(rest, classes, lambda x: stored(x, "rest-lines"))
     found = first.unionByName(second).groupBy(F.col("b").alias("id")).agg(F.min("place").alias("place"))
     decided = classes.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("own")).join(found, "id", "left")
     marked = lines.select("doc_id", "line_no", "h1", "h2").join(decided.select("h1", "h2", "own", "place"), ["h1", "h2"], "left")
