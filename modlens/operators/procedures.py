@@ -132,18 +132,38 @@ def parameters_of(block: str) -> str:
     return f"CASE WHEN contains({block}, '@') THEN {bind(trim(block), parse)} ELSE {none} END"
 
 
-def with_header(modules: DataFrame) -> DataFrame:
-    """Add ``code`` (no comments), ``name``, ``parameter_block`` and ``body``."""
-    # The marks are noncharacters; should a text hold one, it becomes U+FFFD.
+def _pair(free: str) -> str:
     unknown = chr(0xFFFD) * 2
+    return f"CASE WHEN size({free}) < 2 THEN '{unknown}' ELSE concat({free}[0], {free}[1]) END"
+
+
+def restored(value: str) -> str:
+    """A text of the analysis as the module has it: see :func:`with_header`."""
+    unchanged = f"swap = '' OR startswith(swap, '{chr(0xFFFD)}')"
+    return f"CASE WHEN {unchanged} THEN {value} ELSE translate({value}, swap, '{P.MARK}{P.FIELD}') END"
+
+
+def with_header(modules: DataFrame) -> DataFrame:
+    """Add ``code`` (no comments), ``name``, ``parameter_block``, ``body`` and ``swap``.
+
+    The marks of the analysis are noncharacters. In a text that holds one itself, two others
+    that it does not hold stand for them, named in ``swap`` (else empty), until
+    :func:`restored`. Should it hold them all, its marks become U+FFFD.
+    """
+    others = ", ".join(f"'{chr(c)}'" for c in range(0xFDD2, 0xFDF0))
+    free = f"filter(array({others}), c -> NOT contains(sql, c))"
+    swap = (
+        f"CASE WHEN contains(sql, '{P.MARK}') OR contains(sql, '{P.FIELD}') THEN {bind(free, _pair)}"
+        " ELSE '' END"
+    )
     readable = (
-        f"CASE WHEN contains(sql, '{P.MARK}') OR contains(sql, '{P.FIELD}')"
-        f" THEN translate(sql, '{P.MARK}{P.FIELD}', '{unknown}') ELSE coalesce(sql, '') END"
+        f"CASE WHEN swap = '' THEN coalesce(sql, '') ELSE translate(sql, '{P.MARK}{P.FIELD}', swap) END"
     )
     name = normalize_identifier(f"regexp_extract(_declared, {regex(P.NAME_AT_END)}, 0)")
     body = trim(f"CASE WHEN _head = '' THEN code ELSE {_after('_rest', '_head')} END")
     return (
-        modules.withColumn("_sql", F.expr(readable))
+        modules.withColumn("swap", F.expr(f"coalesce({swap}, '')"))
+        .withColumn("_sql", F.expr(readable))
         .withColumn("code", F.expr(strip_comments("_sql")))
         .withColumn("_declared", F.expr(up_to_name("code")))
         .withColumn("_rest", F.expr(_after("code", "_declared")))

@@ -9,7 +9,7 @@ from modlens.functions.core import each, where
 from modlens.functions.identifiers import file_stem
 from modlens.functions.text import split_code
 from modlens.operators.dependencies import module_dependencies, statement_hits, temp_tables_of
-from modlens.operators.procedures import parameters_of, with_header
+from modlens.operators.procedures import parameters_of, restored, with_header
 from modlens.operators.rules import risk_level, rule_ids, with_rule_inputs
 from modlens.operators.statements import is_summarized, summarize
 from modlens.sources.config import RuleConfig
@@ -23,6 +23,11 @@ def prepare(modules: DataFrame) -> DataFrame:
     return with_header(modules).withColumn("statement_texts", F.expr(split_code("body")))
 
 
+def _restored_parameter(p: str) -> str:
+    fields = [f"'{f}', {restored(f'{p}.{f}')}" for f in ("name", "data_type", "default_value")]
+    return f"named_struct({', '.join(fields)})"
+
+
 def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
     """One trace per module: ``module_id, path, snapshot, name, procedure, body, parameters,
     dependencies, temp_tables, statements, rule_ids, metrics``.
@@ -63,8 +68,8 @@ def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
         "snapshot",
         "name",
         F.coalesce("name", F.expr(file_stem("coalesce(path, module_id)"))).alias("procedure"),
-        "body",
-        "parameters",
+        F.expr(restored("body")).alias("body"),
+        F.expr(each("parameters", _restored_parameter)).alias("parameters"),
         "dependencies",
         "temp_tables",
         "statements",

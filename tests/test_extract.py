@@ -140,6 +140,12 @@ def test_marks_in_the_text(traces):
     sql = f"SELECT '{chr(0xFDD0)}é' FROM a JOIN b ON '{chr(0xFDD1)}' = ''"
     trace = traces({"m": sql})["m"]
     assert [(d.object, d.offset) for d in trace.dependencies] == [("a", 20), ("b", 27)]
+    assert trace.body == sql
+    marks = "".join(map(chr, range(0xFDD0, 0xFDD6)))
+    body = f"PRINT '{marks}'"
+    other = traces({"m": f"CREATE PROC p @a CHAR(9) = '{marks},=' AS {body}"})["m"]
+    assert (other.body, other.parameters[0].default_value) == (body, f"'{marks},='")
+    assert chr(0xFFFD) in traces({"m": "PRINT '" + "".join(map(chr, range(0xFDD0, 0xFDF0))) + "'"})["m"].body
 
 
 def test_dependencies(traces):
