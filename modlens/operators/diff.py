@@ -110,19 +110,35 @@ def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def diff_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Compare the modules of each row of ``pair_id, before_id, after_id``.
+#: A module in more pairs than this is joined in ``SALTS`` parts.
+HOT_PAIRS, SALTS = 100_000, 64
+
 
-    Any two modules can be paired, one module in many pairs. The module side has one row per
-    key, so a module in a third of all pairs multiplies nothing, and AQE can split its
-    partition of the pairs.
+def _attach(pairs: DataFrame, side: DataFrame, key: str, hot_pairs: int) -> DataFrame:
+    """Left join of pairs with a module side that has one row per key, hot keys in parts.
+
+    Only hot keys are broadcast, which are fewer than the pairs divided by ``hot_pairs``. The
+    side comes from the analysis, whose size no estimate knows, so it is never broadcast.
     """
-    joined = (
-        pairs.select("pair_id", "before_id", "after_id")
-        .join(_side(traces, "before_id", "before"), "before_id", "left")
-        .join(_side(traces, "after_id", "after"), "after_id", "left")
+    counted = pairs.groupBy(key).agg(F.count("*").alias("n"))
+    hot = F.broadcast(counted.where(F.col("n") > hot_pairs).select(key, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("pair_id"), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    return _compare(joined)
+    left = pairs.join(hot, key, "left").withColumn("salt", salt.cast("int")).drop("hot")
+    right = side.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return left.join(right.hint("merge"), [key, "salt"], "left").drop("salt")
+
+
+def diff_pairs(traces: DataFrame, pairs: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Compare the modules of each row of ``pair_id, before_id, after_id``.
+
+    Any two modules can be paired, one module in many pairs: see :func:`_attach`.
+    """
+    pairs = pairs.select("pair_id", "before_id", "after_id")
+    first = _attach(pairs, _side(traces, "before_id", "before"), "before_id", hot_pairs)
+    return _compare(_attach(first, _side(traces, "after_id", "after"), "after_id", hot_pairs))
 
 
 def diff_changes(diff: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ def graph_nodes(traces: DataFrame) -> DataFrame:
     )
     return (
         traces.select(F.explode_outer(labels).alias("name"))
+        .distinct()  # names repeat: identifiers are made once per name
         .groupBy(F.expr(node_id("name")).alias("node_id"))
         .agg(F.min(F.expr(node_label("name"))).alias("label"))
     )

@@ -126,7 +126,7 @@ def _pair_diff(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("p")
     ).select("p.*")
-    result = diff.diff_pairs(_traces(spark, folder), pairs)
+    result = diff.diff_pairs(_traces(spark, folder), pairs, hot_pairs=1000)
     return result.select(
         "pair_id",
         "presence",
