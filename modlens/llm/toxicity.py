@@ -7,7 +7,7 @@ content of both under the same coding tables, so lengths differ only where toxic
 
 Scoring, on whole texts: a window is a word, written several times over so that the fixed costs of a
 small frame do not hide its coding. Its margin is how many bytes shorter the toxic dictionary makes it, added
-up over two kinds of match search. A document's margins (how many are large, the largest, their share)
+up over three kinds of match search. A document's margins (how many are large, the largest, their share)
 go into a logistic model fitted to the sample, which gives the score.
 
 Defined results: a null text counts as empty and has the score of a text without toxic words; texts
@@ -37,14 +37,16 @@ from modlens.llm.bpe import unused
 #: Bounds of the training sample: documents of each label, and characters of a document that may be in it.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 20_000
 #: Words that the toxic and the ordinary dictionary are trained on, and the dictionaries' bytes.
-TOXIC_WORDS, ORDINARY_WORDS = 600, 24_000
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 8192
+TOXIC_WORDS, ORDINARY_WORDS = 200, 24_000
+TOXIC_BYTES, ORDINARY_BYTES = 6144, 8192
 #: A toxic word's least log-odds and least number of toxic documents.
 LEAST_ODDS, LEAST_ROWS = 1.5, 3
 REPEATS = 4
+#: Match searches (strategy, least match) whose margins are added up, so that they tell more than whole bytes.
+SEARCHES = ((zstandard.STRATEGY_BTLAZY2, 4), (zstandard.STRATEGY_BTULTRA, 3), (zstandard.STRATEGY_BTLAZY2, 5))
 #: Margins from which words are counted, and the largest that is told apart.
-STEPS = (4, 5, 6, 7, 8, 9)
-MOST = 40
+STEPS = (5, 6, 7, 8, 10, 12, 14)
+MOST = 60
 #: Word margins kept by a worker in each of two generations: a bound of memory.
 KEPT_WORDS = 300_000
 #: The repeat offsets that a trained dictionary has before its content: a fixed value of the format.
@@ -71,7 +73,7 @@ class Margins(dict):
         super().__init__()
         self.older: dict[bytes, int] = {}
         self.pairs = []
-        for strategy, least in ((zstandard.STRATEGY_BTLAZY2, 4), (zstandard.STRATEGY_BTULTRA, 3)):
+        for strategy, least in SEARCHES:
             settings = zstandard.ZstdCompressionParameters(strategy=strategy, min_match=least, window_log=17, hash_log=17, chain_log=17, search_log=8, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.pairs.append(tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=settings).compress if d else (lambda x: x) for d in (ordinary, toxic)))
 
