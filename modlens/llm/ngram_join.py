@@ -222,7 +222,16 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
     held: list[Row] = []
     key = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         tokens, pairs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(tokens) != 0) | (np.diff(pairs) != 0)) + 1
+        # Rows that are alone in their list go at once, but for the first and last, whose lists may go on.
+        sizes = np.diff(cuts, prepend=0, append=len(tokens))
+        wanted = sizes > 1
+        wanted[[0, -1]] = True
+        rows_wanted = np.repeat(wanted, sizes)
+        batch, tokens, pairs = batch.filter(pa.array(rows_wanted)), tokens[rows_wanted], pairs[rows_wanted]
         cuts = (np.flatnonzero((np.diff(tokens) != 0) | (np.diff(pairs) != 0)) + 1).tolist()
         rows = list(zip(*(batch.column(k).to_pylist() for k in range(2, batch.num_columns)), strict=True))
         for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
