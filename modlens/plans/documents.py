@@ -239,6 +239,7 @@ def report_md(traces: DataFrame, config: RuleConfig | None = None) -> DataFrame:
         lambda r: f"concat('\\n### ', {r}.severity, ': ', {r}.rule_id, '\\n', {r}.message,"
         f" '\\n\\nSuggestion: ', {r}.suggestion, '\\n')",
     )
+    # The report's headings.
     report = _concat(
         f"'# Procedure Report: ', {_NAME}, '\\n\\n'",
         f"'## 1. Overview\\n- Procedure: ', {_NAME}, '\\n- Dialect: T-SQL\\n- Statements: '",

@@ -33,15 +33,4 @@ PARAMETER = "struct<name:string,data_type:string,default_value:string>"
 HIT = "struct<offset:int,stmt_index:int,object:string,operation:string,source:string>"
 
 # Fixed values.
-OPERATIONS = ["Read", "Write", "Execute"]
-STATEMENT_KINDS = [
-    "Select",
-    "Insert",
-    "Update",
-    "Delete",
-    "Merge",
-    "Execute",
-    "Transaction",
-    "Unknown",
-]
 SEVERITY_RANK = {"Low": 1, "Medium": 2, "High": 3}

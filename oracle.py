@@ -329,6 +329,7 @@ _BLOCKS = (
 
 
 def _report() -> str:
+    # The report's headings.
     return _text(
         "'# Procedure Report: ' || title || '\\n\\n## 1. Overview\\n- Procedure: ' || title",
         "'\\n- Dialect: T-SQL\\n- Statements: ' || statement_count || '\\n- Risk Level: ' || risk_level",
