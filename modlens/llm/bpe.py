@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from modlens.llm import memory
 
 #: Symbols merged at once, words kept, and bytes of text worked on at once: bounds of memory, not of results.
-BLOCK_SYMBOLS = 400_000
-KEPT_WORDS = 250_000
+BLOCK_SYMBOLS = 80_000
+KEPT_WORDS = 200_000
 BATCH_BYTES = 2_000_000
 
 #: Unicode's white space, without the four separators that Python's str.split adds.
