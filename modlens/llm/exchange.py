@@ -106,7 +106,7 @@ def send(part: str, values: list[np.ndarray], owners: int, bits: int) -> pa.Reco
     start = 0
     for owner, end in enumerate(ends.tolist()):
         if end > start:
-            rows.append((owner, golomb_encode(distinct[start:end]), zlib.compress(np.minimum(counts[start:end], 255).astype(np.uint8).tobytes(), 1)))
+            rows.append((owner, golomb_encode(distinct[start:end]), zlib.compress(counts[start:end].astype("<u4").tobytes(), 1)))
         start = end
     return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "owner", "codes", "counts"])
 
@@ -136,14 +136,14 @@ def sender(fingerprints: Callable[[str], np.ndarray], owners: int, bits: int) ->
 def answers(sent: DataFrame, folder: str, shared_only: bool) -> None:
     """Owners merge the messages and store their answers below the folder.
 
-    classes: log2 of the number of rows with the fingerprint, a byte each (counts over 255 in one
-    message count as 255). With shared_only, fingerprints of one row are left out.
+    classes: log2 of the number of rows with the fingerprint, a byte each. With shared_only,
+    fingerprints of one row are left out.
     """
 
     def own(group: pd.DataFrame) -> pd.DataFrame:
         lists = [golomb_decode(c) for c in group["codes"]]
         values, place = np.unique(np.concatenate(lists), return_inverse=True)
-        counts = np.frombuffer(b"".join(zlib.decompress(c) for c in group["counts"]), dtype=np.uint8)
+        counts = np.frombuffer(b"".join(zlib.decompress(c) for c in group["counts"]), dtype="<u4")
         total = np.bincount(place, weights=counts).astype(np.int64)
         classes = (np.frexp(total.astype(np.float64))[1] - 1).astype(np.uint8)
         ends = np.cumsum([len(x) for x in lists])

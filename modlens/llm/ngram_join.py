@@ -20,7 +20,7 @@ link when 100 * intersection >= `PERCENT` * union. The steps:
    while a large group of near copies never gives all of its pairs.
 
 Lists of very common shingles are cut into blocks by the shingle's class, and pairs of blocks go to
-different tasks. Nothing is dropped or capped.
+different tasks, which work them off in tiles. Nothing is dropped or capped.
 
 Words are runs of other characters than white space of ASCII, with A-Z in lower case. Texts of
 fewer words than a shingle are one shingle; a null text or one without words has an empty set and no links. Ids need
@@ -54,8 +54,12 @@ MAP_BITS = 512
 NEEDS = (1, 2, 3, 4)
 #: Cost of a candidate against a row of a list.
 CANDIDATE_COST = 4.0
-#: Rows of a list that meet in one task; longer lists are cut.
+#: Rows of a block; longer lists are cut, and two blocks meet in one task.
 LIST_ROWS = 4096
+#: Rows of a list on each side of a tile, whose pairs are held at once.
+TILE = 1024
+#: Marks that are counted at once for the rows of a tile.
+MARKS = 4096
 #: A list of n rows emits all its candidates if they are no more than n times this.
 FEW = 2
 #: Lists up to this length are gone over in plain Python, which costs less than arrays there.
@@ -270,47 +274,69 @@ def few_candidates(rows: list[Row]) -> list[tuple[int, int, int]]:
     return found
 
 
-def matches(marks: list[np.ndarray]) -> np.ndarray:
-    """How many marks each two rows have in common; at least as many as tokens."""
-    known, place = np.unique(np.concatenate(marks), return_inverse=True)
-    has = np.zeros((len(marks), len(known)), dtype=np.float32)
-    has[np.repeat(np.arange(len(marks)), [len(m) for m in marks]), place] = 1
-    return has @ has.T
-
-
-def candidates(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of a list that pass all filters, and the differing bits of their maps."""
+def matches(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many marks each row of the left has in common with each of the right; at least as many as tokens."""
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for marks in (left, right):
+        flat, row = np.concatenate(marks), np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+        place = np.searchsorted(known, flat)
+        met = known[np.minimum(place, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), dtype=bool)
+        order = np.argsort(place[met], kind="stable")
+        sides.append((len(marks), row[met][order], place[met][order]))
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, len(known), MARKS):
+        has = []
+        for m, row, place in sides:
+            a, b = np.searchsorted(place, (start, start + MARKS))
+            has.append(np.zeros((m, min(MARKS, len(known) - start)), dtype=np.float32))
+            has[-1][row[a:b], place[a:b] - start] = 1
+        both += has[0] @ has[1].T
+    return both
+
+
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]  # i, j, differing bits of their maps
+
+
+def candidates(rows: list[Row]) -> Iterator[Pairs]:
+    """Pairs i < j of a list that pass all filters, tile by tile."""
     m = len(rows)
     if m <= SHORT:
         few = np.array(few_candidates(rows), dtype=np.int64).reshape(-1, 3)
-        return few[:, 0], few[:, 1], few[:, 2]
+        if len(few):
+            yield few[:, 0], few[:, 1], few[:, 2]
+        return
     _, label, s, d, need, maps, tokens = zip(*rows, strict=True)
     label, s, d, need = (np.array(x, dtype=np.int64) for x in (label, s, d, need))
     maps = np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(m, -1)
-    found = []
-    for i in range(m - 1):
-        j = slice(i + 1, m)
-        total = s[i] + s[j]
-        ok = (label[j] != label[i]) & (PERCENT * np.maximum(s[i], s[j]) <= 100 * np.minimum(s[i], s[j]))
-        shared = -(-PERCENT * total // (100 + PERCENT))  # of two sets that link, at least
-        ok &= np.minimum(d[i], d[j]) >= shared
-        at = np.flatnonzero(ok)
-        if len(at):
-            bits = np.bitwise_count(maps[i] ^ maps[i + 1 + at]).sum(axis=1).astype(np.int32)
-            good = bits <= total[at] - 2 * shared[at]
-            if good.any():
-                found.append((np.full(int(good.sum()), i), i + 1 + at[good], bits[good]))
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
     marks = [np.unique(np.frombuffer(t, dtype=np.uint16)) for t in tokens]
-    if len(a) > m:
-        both = matches(marks)[a, b]
-    else:
-        both = np.array([len(np.intersect1d(marks[x], marks[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-    enough = both >= np.minimum(need[a], need[b])
-    return a[enough], b[enough], bits[enough]
+    for top in range(0, m, TILE):
+        for left in range(top, m, TILE):
+            rows_end, end = min(m, top + TILE), min(m, left + TILE)
+            found = []
+            for i in range(top, rows_end):
+                first = max(i + 1, left)
+                j = slice(first, end)
+                total = s[i] + s[j]
+                ok = (label[j] != label[i]) & (PERCENT * np.maximum(s[i], s[j]) <= 100 * np.minimum(s[i], s[j]))
+                shared = -(-PERCENT * total // (100 + PERCENT))  # of two sets that link, at least
+                ok &= np.minimum(d[i], d[j]) >= shared
+                at = np.flatnonzero(ok)
+                if len(at):
+                    bits = np.bitwise_count(maps[i] ^ maps[first + at]).sum(axis=1).astype(np.int32)
+                    good = bits <= total[at] - 2 * shared[at]
+                    if good.any():
+                        found.append((np.full(int(good.sum()), i), first + at[good], bits[good]))
+            if not found:
+                continue
+            a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a) > end - top:
+                both = matches(marks[top:rows_end], marks[left:end])[a - top, b - left]
+            else:
+                both = np.array([len(np.intersect1d(marks[x], marks[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            enough = both >= np.minimum(need[a], need[b])
+            if enough.any():
+                yield a[enough], b[enough], bits[enough]
 
 
 def spanning(m: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -325,17 +351,32 @@ def spanning(m: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarr
 
     kept = []
     order = np.argsort(bits, kind="stable")
-    left, right = a[order].tolist(), b[order].tolist()
-    for k, (x, y) in enumerate(zip(left, right, strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[x] = y
-            kept.append(order[k])
-            if len(kept) == m - 1:
-                break
+    while len(order) and len(kept) < m - 1:
+        some, order = order[: 4 * m], order[4 * m :]
+        for k, x, y in zip(some.tolist(), a[some].tolist(), b[some].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[x] = y
+                kept.append(k)
+        if len(order):  # without the pairs that are joined by now
+            roots = np.array([root(x) for x in range(m)])
+            order = order[roots[a[order]] != roots[b[order]]]
     return np.array(kept, dtype=np.int64)
 
 
+def few_or_spanning(rows: list[Row]) -> tuple[Pairs | None, bool]:
+    """The candidates of a list if they are few, else those of a minimum spanning forest; and whether there are more."""
+    held: Pairs | None = None
+    count = 0
+    for tile in candidates(rows):
+        count += len(tile[0])
+        held = tile if held is None else tuple(np.concatenate(x) for x in zip(held, tile, strict=True))
+        if count > FEW * len(rows):
+            kept = spanning(len(rows), *held)
+            held = held[0][kept], held[1][kept], held[2][kept]
+    return held, count > FEW * len(rows)
+
+
 FOUND = "token long, pair long, a long, b long, pending boolean"
 
 
@@ -352,21 +393,17 @@ def emit(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for (token, pair), rows in lists(batches):
             if len(rows) < 2:
                 continue
-            a, b, bits = candidates(rows)
-            if not len(a):
-                continue
-            pending = not every and len(a) > FEW * len(rows)
-            if pending:
-                kept = spanning(len(rows), a, b, bits)
-                a, b = a[kept], b[kept]
             nodes = np.array([r[0] for r in rows])
-            x, y = nodes[a], nodes[b]
-            for column, values in zip(out, (np.full(len(a), token), np.full(len(a), pair), np.minimum(x, y), np.maximum(x, y), np.full(len(a), pending)), strict=True):
-                column.append(values)
-            held += len(a)
-            if held > 50_000:
-                yield batch()
-                out, held = [[] for _ in range(5)], 0
+            for tile, pending in ((t, False) for t in candidates(rows)) if every else (few_or_spanning(rows),):
+                if tile is None:
+                    continue
+                x, y = nodes[tile[0]], nodes[tile[1]]
+                for column, values in zip(out, (np.full(len(x), token), np.full(len(x), pair), np.minimum(x, y), np.maximum(x, y), np.full(len(x), pending)), strict=True):
+                    column.append(values)
+                held += len(x)
+                if held > 50_000:
+                    yield batch()
+                    out, held = [[] for _ in range(5)], 0
         if held:
             yield batch()
 

@@ -81,6 +81,48 @@ def test_ngram_join_in_blocks(docs, monkeypatch):
     assert got == components(rows)
 
 
+def test_counts_of_answers(spark, tmp_path):
+    """A message counts all its rows, so that a list is cut by its real length."""
+    import numpy as np
+
+    sent = exchange.send("p", [np.array([5, 1 << 40], dtype=np.uint64)] * 5000 + [np.array([7], dtype=np.uint64)] * 256, 1, 48)
+    exchange.answers(spark.createDataFrame(sent.to_pandas(), exchange.SENT), str(tmp_path / "answers"), shared_only=True)
+    values, classes = exchange.Answers(str(tmp_path / "answers")).of("p")
+    assert dict(zip(values.tolist(), classes.tolist(), strict=True)) == {5: 12, 7: 8, 1 << 40: 12}
+
+
+def list_of(n, groups=3):
+    """Rows of a list: near copies of a few sets, each copy its own node."""
+    import numpy as np
+
+    mixed = np.random.default_rng(4)
+    bases = [mixed.integers(0, 2**63, 150, dtype=np.uint64) for _ in range(groups)]
+    out = []
+    for node in range(n):
+        values = np.unique(np.concatenate([bases[node % groups][mixed.permutation(150)[: 150 - node % 9]], mixed.integers(0, 2**63, node % 7, dtype=np.uint64)]))
+        marks = (values[:60] & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+        out.append((node, node, len(values), len(values), 1 + node % 4, ngram_join.parity_map(values), marks))
+    return out
+
+
+def test_candidates_in_tiles(monkeypatch):
+    """All pairs of a list, never more than a tile's at once; a forest that spans what they span."""
+    import numpy as np
+
+    rows = list_of(300)
+    want = {(i, j): bits for i, j, bits in ngram_join.few_candidates(rows)}
+    monkeypatch.setattr(ngram_join, "TILE", 32)
+    monkeypatch.setattr(ngram_join, "MARKS", 16)
+    tiles = list(ngram_join.candidates(rows))
+    assert len(want) > 10_000 and max(len(a) for a, _, _ in tiles) <= 32 * 32
+    got = [(i, j, bits) for tile in tiles for i, j, bits in zip(*(x.tolist() for x in tile), strict=True)]
+    assert len(got) == len(want) and {(i, j): bits for i, j, bits in got} == want
+    (a, b, bits), pending = ngram_join.few_or_spanning(rows)
+    assert pending and len(a) == 297
+    i, j, all_bits = (np.array(x) for x in zip(*got, strict=True))
+    assert bits.sum() == all_bits[ngram_join.spanning(300, i, j, all_bits)].sum()
+
+
 def test_ngram_join_of_odd_tables(docs):
     assert ngram_join.ngram_components(docs([])).collect() == []
     twice = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b C d e f"), (None, "q"), (3, None)]
