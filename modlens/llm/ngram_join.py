@@ -202,7 +202,7 @@ def list_rows(nodes: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in range(9)]
                 for row in batch.slice(start, 200).to_pylist():
                     tokens = np.array(row["head"], dtype=np.int64)
-                    marks = (tokens & 0xFFFF).astype(np.uint16).tobytes()  # equal tokens have equal marks
+                    marks = (tokens & 0xFFFF).astype(np.uint16).tobytes()  # equal tokens have equal marks; so may others
                     for token, rarity in zip(tokens.tolist(), row["classes"], strict=True):
                         blocks = max(1, (2 << rarity) // LIST_ROWS)
                         own = xxhash.xxh32_intdigest(row["node"].to_bytes(8, "little")) % blocks
@@ -251,6 +251,13 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         yield key, held
 
 
+def common_at_most(left: bytes, right: bytes) -> int:
+    """At least the number of tokens that two rows have in common: common marks, and tokens beyond one a mark."""
+    x, y = memoryview(left).cast("H"), memoryview(right).cast("H")
+    own, others = set(x), set(y)
+    return len(own & others) + min(len(x) - len(own), len(y) - len(others))
+
+
 def few_candidates(rows: list[Row]) -> list[tuple[int, int, int]]:
     """As candidates(), for short lists: i, j, differing bits."""
     maps = [int.from_bytes(r[5], "little") for r in rows]
@@ -268,14 +275,13 @@ def few_candidates(rows: list[Row]) -> list[tuple[int, int, int]]:
             bits = (maps[i] ^ maps[j]).bit_count()
             if bits > s + t - 2 * shared:
                 continue
-            both = len(set(memoryview(tokens).cast("H")).intersection(memoryview(other[6]).cast("H")))
-            if both >= min(need, other[4]):
+            if common_at_most(tokens, other[6]) >= min(need, other[4]):
                 found.append((i, j, bits))
     return found
 
 
 def matches(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many marks each row of the left has in common with each of the right; at least as many as tokens."""
+    """How many marks each row of the left has in common with each of the right."""
     known = np.intersect1d(np.concatenate(left), np.concatenate(right))
     sides = []
     for marks in (left, right):
@@ -310,6 +316,7 @@ def candidates(rows: list[Row]) -> Iterator[Pairs]:
     label, s, d, need = (np.array(x, dtype=np.int64) for x in (label, s, d, need))
     maps = np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(m, -1)
     marks = [np.unique(np.frombuffer(t, dtype=np.uint16)) for t in tokens]
+    extra = np.array([len(t) // 2 - len(u) for t, u in zip(tokens, marks, strict=True)])  # tokens whose mark is another's too
     for top in range(0, m, TILE):
         for left in range(top, m, TILE):
             rows_end, end = min(m, top + TILE), min(m, left + TILE)
@@ -334,7 +341,7 @@ def candidates(rows: list[Row]) -> Iterator[Pairs]:
                 both = matches(marks[top:rows_end], marks[left:end])[a - top, b - left]
             else:
                 both = np.array([len(np.intersect1d(marks[x], marks[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            enough = both >= np.minimum(need[a], need[b])
+            enough = both + np.minimum(extra[a], extra[b]) >= np.minimum(need[a], need[b])  # at least the common tokens
             if enough.any():
                 yield a[enough], b[enough], bits[enough]
 

@@ -123,6 +123,22 @@ def test_candidates_in_tiles(monkeypatch):
     assert bits.sum() == all_bits[ngram_join.spanning(300, i, j, all_bits)].sum()
 
 
+@pytest.mark.parametrize("short", [24, 0])
+def test_marks_of_different_tokens(monkeypatch, short):
+    """Two shared tokens of equal low 16 bits count as two; a pair that shares exactly the need stays."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    sets = [np.array([1 << 20 | 77, 2 << 20 | 77, *(k << 20 | k for k in own)], dtype=np.uint64) for own in (range(300, 310), range(400, 410))]
+    marks = [(v & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for v in sets]
+    for need, many in ((2, 1), (3, 0)):
+        rows = [(k, k, 100, 100, need, bytes(64), m) for k, m in enumerate(marks)]
+        assert sum(len(a) for a, _, _ in ngram_join.candidates(rows)) == many
+    # More pairs than rows are counted by a product.
+    rows = [(k, k, 100, 100, 2, bytes(64), marks[k % 2]) for k in range(6)]
+    assert sum(len(a) for a, _, _ in ngram_join.candidates(rows)) == 15
+
+
 def test_ngram_join_of_odd_tables(docs):
     assert ngram_join.ngram_components(docs([])).collect() == []
     twice = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b C d e f"), (None, "q"), (3, None)]
