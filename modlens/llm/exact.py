@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.exchange import SENT, Answers, answers, part_of, sender
+from modlens.llm.exchange import SENT, Answers, answers, sender, with_parts
 from modlens.session import shared_folder
 
+#: Rows of a part, each with one fingerprint.
+PART_ROWS = 1 << 18
 #: Characters of representatives that a task holds; beyond, it starts anew with further ones.
 HELD_CHARS = 24_000_000
 
@@ -42,7 +44,7 @@ def find_suspects(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, "exact-dedup")
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(part_of(df).alias("part"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    texts = with_parts(df, [F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id")], PART_ROWS, folder)
     sent = texts.select("part", "text").mapInArrow(sender(fingerprint, owners, 64), SENT)
     answers(sent, f"{folder}/answers", shared_only=False)
 
@@ -62,7 +64,7 @@ def find_suspects(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                     known, classes = got.of(part)
                     at = int(np.searchsorted(known, values[i]))
                     if at == len(known) or known[at] != values[i]:
-                        raise ValueError("the table changed while it was read, or isn't read from files")
+                        raise ValueError("the table changed while it was read")
                     row, first = number + i, False
                     if classes[at]:
                         if size > HELD_CHARS:

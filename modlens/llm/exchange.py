@@ -4,9 +4,9 @@ Each part of a table sends every owner (a range of fingerprint values) its disti
 range, sorted and Golomb-coded with Rice parameters, and how often it has each. An owner merges
 what it gets and answers each part. Texts and ids stay where they are.
 
-A part is what one input file holds, so the answers find their part again however Spark cuts files into
-tasks, then and later; a table that is no file scan is one part. Answers are stored in the shared folder,
-a directory per part; a task reads those of the parts it works on, nothing larger.
+A part is so many rows on end of one Parquet file, so the answers find their part again however Spark cuts
+files into tasks, then and later. A table that is no plain scan of Parquet files is stored first. Answers are
+stored in the shared folder, a directory per part; a task reads those of the parts it works on, nothing larger.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,28 @@ SENT = "part string, owner long, codes binary, counts binary"
 ANSWER = "part string, owner long, codes binary, classes binary"
 
 
-def part_of(df: DataFrame) -> Column:
-    return F.md5(F.input_file_name() if df.inputFiles() else F.lit(""))
+def in_files(df: DataFrame) -> bool:
+    """Whether the rows are those of Parquet files, in their order: projections and filters of one scan."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        return df.select(df.metadataColumn("_metadata")["row_index"]).schema is not None
+    except AnalysisException:  # no Parquet
+        return False
+
+
+def with_parts(df: DataFrame, columns: list[Column], rows: int, folder: str) -> DataFrame:
+    """The columns after the part of each row; a part has at most so many rows."""
+    if not in_files(df):
+        df.select(*columns).write.parquet(f"{folder}/table")
+        df = df.sparkSession.read.parquet(f"{folder}/table")
+        columns = [df[f"`{name}`"] for name in df.columns]
+    place = df.metadataColumn("_metadata")
+    number = F.floor(place["row_index"] / rows).cast("string")
+    return df.select(F.md5(F.concat_ws(" ", number, place["file_path"])).alias("part"), *columns)
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:

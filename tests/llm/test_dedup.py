@@ -91,6 +91,39 @@ def test_counts_of_answers(spark, tmp_path):
     assert dict(zip(values.tolist(), classes.tolist(), strict=True)) == {5: 12, 7: 8, 1 << 40: 12}
 
 
+def answered(folder):
+    """Rows of each part's answers, below a shared folder."""
+    found = {}
+    for file in folder.glob("*/answers/part=*/*.parquet"):
+        table = pq.ParquetFile(file).read()
+        n = sum(len(exchange.golomb_decode(c)) for c in table.column("codes").to_pylist())
+        found[file.parent.name] = found.get(file.parent.name, 0) + n
+    return found
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json", "memory", "sorted"])
+def test_parts_of_one_file(spark, docs, tmp_path, monkeypatch, kind):
+    """A large file is many parts, and so is a table that is no file; the results are the same."""
+    rows = small() + [(20_000 + k, t) for k, t in small()[:50]]
+    frame = docs(rows, 1)
+    if kind != "memory":
+        getattr(frame.write, "json" if kind == "json" else "parquet")(str(tmp_path / "in"))
+        frame = getattr(spark.read.schema(frame.schema), "json" if kind == "json" else "parquet")(str(tmp_path / "in"))
+    if kind == "sorted":
+        frame = frame.sort("text")
+    monkeypatch.setattr(exact, "PART_ROWS", 40)
+    monkeypatch.setattr(exact, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    got = exact.exact_duplicates(frame).collect()
+    sizes = {}
+    for _, t in rows:
+        sizes[t or ""] = sizes.get(t or "", 0) + 1
+    text = dict(rows)
+    assert len(got) == len(rows) and all(r.group_size == sizes[text[r.doc_id] or ""] for r in got)
+    parts = answered(tmp_path)
+    assert len(parts) >= 7 and max(parts.values()) <= 40
+    assert (tmp_path / "exact-dedup" / "table").exists() == (kind != "parquet")
+
+
 def list_of(n, groups=3):
     """Rows of a list: near copies of a few sets, each copy its own node."""
     import numpy as np
