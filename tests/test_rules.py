@@ -106,7 +106,7 @@ TEMPLATE_FINDINGS = [
     ["dynamic_sql"],
     ["linked_server"],
     ["nolock_used", "select_star"],
-    ["update_without_where", "status_magic_number"],
+    ["update_without_where", "hardcoded_date", "status_magic_number"],
     ["delete_without_where"],
     ["insert_select_no_distinct", "temp_table_chain"],
     ["cursor_used"],
@@ -118,7 +118,7 @@ TEMPLATE_FINDINGS = [
     [],
     [],
 ]
-TEMPLATE_STATEMENTS = [1, 1, 1, 1, 1, 1, 2, 3, 2, 3, 3, 1, 2, 3, 2, 2]
+TEMPLATE_STATEMENTS = [1, 1, 3, 1, 1, 2, 2, 3, 2, 3, 3, 1, 2, 3, 2, 2]
 
 
 def test_templates(traces):
