@@ -34,6 +34,34 @@ def whole(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
+#: Pieces that are joined to one text, as a call for each costs more than its coding.
+JOINED = 2000
+
+
+def joined_ids(tokenizer, pieces: list[str], sizes: np.ndarray, token_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces, each of which starts with white space that cuts, and the number of ids of each.
+
+    Pieces are joined where none ends with white space, so that the tokenizer starts anew at each; what they
+    are in bytes (sizes, token_sizes) tells where each ends.
+    """
+    apart = np.array([p[-1:].isspace() for p in pieces], dtype=bool)
+    groups, start = [], 0
+    for stop in [*np.flatnonzero(apart).tolist(), len(pieces)]:
+        groups += [(k, min(stop, k + JOINED)) for k in range(start, stop, JOINED)]
+        if stop < len(pieces):
+            groups.append((stop, stop + 1))
+        start = stop + 1
+    coded = tokenizer.encode_batch_fast(["".join(pieces[a:b]) for a, b in groups], add_special_tokens=False)
+    ids = np.fromiter((i for e in coded for i in e.ids), dtype=np.int64, count=sum(len(e) for e in coded))
+    ends = np.concatenate([[0], np.cumsum(token_sizes[ids])])
+    at = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)]))
+    if (ends[at] != np.concatenate([[0], np.cumsum(sizes)])).any():  # not lossless: one by one
+        coded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        counts = np.array([len(e) for e in coded], dtype=np.int64)
+        return np.array([i for e in coded for i in e.ids], dtype=np.int64), counts
+    return ids, np.diff(at)
+
+
 class Kept(dict):
     """Codings of the latest pieces. A piece that has none yet gives None and is noted in `fresh`."""
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import bpe, chat, exact, lines, mixing, ngram_join, records, search, token_counts, toxicity
+from modlens.llm import alignment, bpe, chat, exact, lines, mixing, ngram_join, records, search, token_counts, toxicity
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -107,6 +107,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.where("section >= 0")
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,5 +133,6 @@ QUERIES = {
         op8_exact_top_k,
         op9_token_counts,
         op10_ngram_join,
+        op13_token_alignment,
     )
 }
