@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import alignment, bpe, chat, exact, lines, mixing, ngram_join, records, search, token_counts, toxicity
+from modlens.llm import alignment, bpe, chat, exact, lines, mixing, ngram_join, quality, records, search, token_counts, toxicity
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -107,6 +107,18 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.where("section >= 0")
 
 
+QUALITY_FROM = 0.7
+#: The only column besides the text that op11 looks at.
+METADATA = ("n_chars",)
+
+
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", *METADATA)
+    model = quality.train(docs, table(spark, folder, "labels").where(~held_out()), metadata=METADATA)
+    scored = quality.quality_scores(docs, model, metadata=METADATA)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
 
@@ -133,6 +145,7 @@ QUERIES = {
         op8_exact_top_k,
         op9_token_counts,
         op10_ngram_join,
+        op11_quality,
         op13_token_alignment,
     )
 }
