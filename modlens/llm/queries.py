@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import alignment, bpe, chat, exact, lines, mixing, ngram_join, quality, records, search, token_counts, toxicity
+from modlens.llm import alignment, bpe, chat, exact, lines, mixing, ngram_join, quality, records, search, token_counts, toxicity, trie
 from modlens.session import shared_folder, ship_package
 
 #: The end-of-document id that op3 appends.
@@ -119,6 +119,10 @@ def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= QUALITY_FROM, 1).otherwise(0).alias("predicted"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_starts(table(spark, folder, "conversations")))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
 
@@ -146,6 +150,7 @@ QUERIES = {
         op9_token_counts,
         op10_ngram_join,
         op11_quality,
+        op12_conversation_trie,
         op13_token_alignment,
     )
 }

@@ -54,4 +54,40 @@ WITH rows AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_exact_top_k": OP8}
+OP12 = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    left(sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT conv_id::BIGINT AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k, id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns
+), convs AS (
+  SELECT c, c - c % 20 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]), lambda a, b:
+      list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM numbered)
+), rebuilt AS (
+  SELECT c, 0 AS part, k, id, words FROM convs JOIN numbered ON conv_id = base AND k <= h
+  UNION ALL SELECT c, 1, k, id, words FROM convs JOIN numbered ON conv_id = c AND k > h
+), placed AS (
+  SELECT c, words, row_number() OVER own AS depth, string_agg(id, '/') OVER own AS path FROM rebuilt WINDOW own AS (PARTITION BY c ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+), members AS (
+  SELECT c, depth, path, words, depth = max(depth) OVER (PARTITION BY c) AS ends FROM placed
+  UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM placed) FROM convs
+), nodes AS (
+  SELECT path, any_value(depth)::BIGINT AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM members GROUP BY path
+), tree AS (
+  SELECT n.*, CASE WHEN depth > 0 THEN left(path, greatest(0, 33 * (depth - 1) - 1)) END AS above FROM nodes n
+), kids AS (SELECT above AS path, count(*) AS n_children FROM tree WHERE above IS NOT NULL GROUP BY above
+), figures AS (SELECT tree.*, coalesce(n_children, 0) AS n_children FROM tree LEFT JOIN kids USING (path)
+), sums AS (
+  SELECT left(path, greatest(0, 33 * d - 1)) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM figures) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM figures f JOIN sums s USING (path) LEFT JOIN nodes p ON p.path = f.above
+"""
+
+ORACLE = {"op2_source_mix": OP2, "op5_chat_format": OP5, "op6_exact_dedup": OP6, "op8_exact_top_k": OP8, "op12_conversation_trie": OP12}
