@@ -179,3 +179,33 @@ def dense_modules(spark: SparkSession, folder: str) -> DataFrame:
     )
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
     return groups.select("module_id", F.concat(F.lit("CREATE PROC d.P AS"), text).alias("sql"))
+
+
+def module_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, content``: a file for each part, with all that a folder scan must tell apart.
+
+    Folders of three depths, upper-case endings, other endings, a folder to be left out, files
+    without bytes, and files that are no UTF-8.
+    """
+    key = F.col("p_partkey")
+    parts = spread(spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_brand"), _slices(spark))
+    rows = parts.select(
+        key.alias("o_orderkey"), F.lit("1998-10-03").alias("o_orderdate"), F.col("p_brand").alias("o_orderpriority")
+    )
+    number = F.col("module_id").cast("long")
+    place = (
+        F.when(number % 11 == 3, "out/")
+        .when(number % 7 == 0, "")
+        .when(number % 2 == 0, F.concat(F.lit("d"), number % 13, F.lit("/")))
+        .otherwise(F.concat(F.lit("d"), number % 13, F.lit("/e"), number % 5, F.lit("/")))
+    )
+    ending = F.when(number % 10 == 9, ".txt").when(number % 4 == 1, ".SQL").otherwise(".sql")
+    text = F.col("sql").cast("binary")
+    content = (
+        F.when(number % 19 == 7, F.lit(b""))
+        .when(number % 17 == 5, F.concat(text, F.lit(b"\xff")))
+        .otherwise(text)
+    )
+    return order_modules(rows).select(
+        F.concat(place, F.lit("m"), number, ending).alias("name"), content.alias("content")
+    )

@@ -14,7 +14,8 @@ from modlens.plans import corpus, documents, tables
 from modlens.plans.analyze import analyze, prepare
 from modlens.session import shared_folder
 from modlens.sources.config import RuleConfig
-from modlens.sources.sinks import write_reports, write_tables
+from modlens.sources.modules import scan_module_files
+from modlens.sources.sinks import write_files, write_reports, write_tables
 from modlens.streaming.incremental import append_traces, arriving_modules, latest_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,6 +252,30 @@ def _stored_reports(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Modules as files in nested folders, written by Spark and scanned again; paths below the folder."""
+    out = shared_folder(spark, "files")
+    written = write_files(corpus.module_files(spark, folder), out, "name", "content")
+    written.write.parquet(f"{out}/out/listing")
+    found = scan_module_files(spark, out, skip=f"{out}/out")
+    inner = F.substring_index("path", out.rsplit("/", 1)[1] + "/", -1)
+    return found.withColumns({"module_id": inner, "path": inner})
+
+
+def _folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    traces = analyze(_scanned(spark, folder).where("sql IS NOT NULL"))
+    return traces.select(
+        "path",
+        "procedure",
+        F.col("metrics.statement_count").alias("statement_count"),
+        F.array_join("rule_ids", ",").alias("rules"),
+    )
+
+
+def _folder_bad_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _scanned(spark, folder).where("sql IS NULL").select("path")
+
+
 QUERIES: dict[str, Query] = {
     # text
     "comment_stripping": _on_modules(code="code"),
@@ -318,6 +343,9 @@ QUERIES: dict[str, Query] = {
     # streaming
     "incremental_findings": _incremental_findings,
     "latest_index": _latest_index,
+    # folders
+    "folder_scan": _folder_scan,
+    "folder_bad_files": _folder_bad_files,
     # sinks
     "stored_index": _stored_index,
     "stored_reports": _stored_reports,

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlens.sources import stores
+from modlens.sources.folder import register
+
 
 def spread(scan: DataFrame, partitions: int | None) -> DataFrame:
     """Deal the rows out over so many partitions; not at all by default, as that shuffles them.
@@ -50,16 +53,10 @@ def _below(skip: str):
     return F.startswith("path", folder) | F.startswith(plain, folder)
 
 
-def scan_module_files(
-    spark: SparkSession, folder: str, skip: str | None = None, snapshot: str | None = None
-) -> DataFrame:
-    """``.sql`` files (any case) at any depth below ``folder``, or one such file.
+def _scan_through_spark(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, content`` by Spark's own readers, for stores that only these reach.
 
-    ``module_id, path, snapshot, sql``; ``sql`` is null where a file is no valid UTF-8. Files
-    below ``skip``, e.g. an output folder, are left out. Spark's scans pass over files of zero
-    bytes, so these are taken from the listing that the driver has made: they are modules with
-    an empty text. Content is read once; to use both :func:`read_module_files` and
-    :func:`bad_module_files`, filter this scan on ``sql`` instead.
+    They pass over files of zero bytes, so these are taken from the listing that the driver has made.
     """
     files = (
         spark.read.format("binaryFile")
@@ -67,22 +64,47 @@ def scan_module_files(
         .option("pathGlobFilter", "*.[sS][qQ][lL]")
         .load(folder)
     )
-    scanned = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("sql"))
     # The listing gives URIs: percent-coded, with an empty authority spelled out.
     same = F.regexp_replace("path", r"\A([A-Za-z][A-Za-z0-9+.-]*+:)///", "$1/")
     same = F.url_decode(F.replace(same, F.lit("+"), F.lit("%2B")))
     listing = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
-    empty = listing.select(same.alias("path")).join(
-        files.select("path"), "path", "left_anti"
+    empty = listing.select(same.alias("path")).join(files.select("path"), "path", "left_anti")
+    return files.select("path", "content").unionByName(
+        empty.withColumn("content", F.lit(b"").cast("binary"))
     )
-    found = scanned.unionByName(empty.withColumn("sql", F.lit("")))
-    if skip:
-        found = found.filter(~_below(skip))
+
+
+def scan_module_files(
+    spark: SparkSession,
+    folder: str,
+    skip: str | None = None,
+    snapshot: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``.sql`` files (any case) at any depth below ``folder``, or one such file.
+
+    ``module_id, path, snapshot, sql``; ``sql`` is null where a file is no valid UTF-8 or may not
+    be read, and empty where it has no bytes. Files below ``skip``, e.g. an output folder, are
+    left out. The tasks list and read, each its folders (see ``sources/folder.py``); ``partitions``
+    is the least number of tasks. Content is read once; to use both :func:`read_module_files`
+    and :func:`bad_module_files`, filter this scan on ``sql`` instead.
+    """
+    if stores.known(folder):
+        register(spark)
+        source = spark.read.format("module_folder").option("path", folder)
+        if skip:
+            source = source.option("skip", skip)
+        wanted = partitions or 2 * spark.sparkContext.defaultParallelism
+        found = source.option("partitions", wanted).load()
+    else:
+        found = _scan_through_spark(spark, folder)
+        if skip:
+            found = found.filter(~_below(skip))
     return found.select(
         F.col("path").alias("module_id"),
         "path",
         F.lit(snapshot).cast("string").alias("snapshot"),
-        "sql",
+        F.try_validate_utf8(F.col("content").cast("string")).alias("sql"),
     )
 
 

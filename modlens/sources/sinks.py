@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from modlens.operators.graph import graph_edges, graph_nodes
 from modlens.plans import documents, tables
+from modlens.session import ship_package
 from modlens.sources.config import RuleConfig
+from modlens.sources.stores import open_store
 
 
 def write_traces(traces: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
@@ -64,3 +70,33 @@ def write_trace_json(
 ) -> None:
     """Trace documents as text, one JSON document per line."""
     documents.trace_json(traces, config).select("trace_json").write.mode(mode).text(folder)
+
+
+def write_files(rows: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """One file per row below a folder, at the path that column ``name`` gives; path and length of each.
+
+    Folders are made as needed. A file is there whole or not at all, and rows written again by a
+    task that is run again replace their own files. ``content`` is a string or binary column; null
+    is empty. Names must be unique: two rows of one name would race. The files are written when
+    the result is used.
+    """
+    ship_package(rows.sparkSession)
+    chosen = rows.select(
+        F.col(name).alias("name"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content")
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = open_store(folder)
+        for batch in batches:
+            names, lengths = batch.column(0).to_pylist(), []
+            for path, value in zip(names, batch.column(1), strict=True):
+                data = value.as_py()
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} is not below the folder")
+                store.write(f"{store.root}/{path}", data)
+                lengths.append(len(data))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(lengths, pa.int64())], names=["name", "length"]
+            )
+
+    return chosen.mapInArrow(write, "name string, length long")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from modlens import schemas
 from modlens.plans.analyze import analyze
 from modlens.sources.config import RuleConfig
+from modlens.sources.folder import register
 
 
 def arriving_modules(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,22 +21,28 @@ def arriving_modules(spark: SparkSession, folder: str, files_per_batch: int = 10
     )
 
 
-def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the ``.sql`` files (any case) below a folder that hold some valid UTF-8."""
+def arriving_files(
+    spark: SparkSession, folder: str, partitions: int | None = None, settle_ms: int = 2000
+) -> DataFrame:
+    """Stream of the ``.sql`` files (any case) below a folder that are valid UTF-8, empty ones too.
+
+    Each batch lists and reads in its tasks, as a batch scan does, and takes what changed since the
+    last one; a file that is put there again comes again. ``settle_ms``: how old a change must be.
+    """
+    register(spark)
+    wanted = partitions or 2 * spark.sparkContext.defaultParallelism
     files = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[sS][qQ][lL]")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
+        spark.readStream.format("module_folder")
+        .option("path", folder)
+        .option("partitions", wanted)
+        .option("settle_ms", settle_ms)
+        .load()
     )
-    text = F.try_validate_utf8(F.col("content").cast("string"))
     found = files.select(
         F.col("path").alias("module_id"),
         "path",
         F.lit(None).cast("string").alias("snapshot"),
-        text.alias("sql"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("sql"),
     )
     return found.where("sql IS NOT NULL")
 

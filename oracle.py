@@ -59,6 +59,18 @@ LONG_MODULES = (
 )
 
 
+# A module per part as a file; which are left out, empty or no UTF-8 follows from the number.
+PART_MODULES = short_modules().replace(
+    "FROM orders",
+    "FROM (SELECT p_partkey AS o_orderkey, '1998-10-03' AS o_orderdate, p_brand AS o_orderpriority FROM part)",
+)
+FILES = f"""
+SELECT CASE WHEN k % 7 = 0 THEN '' WHEN k % 2 = 0 THEN 'd' || k % 13 || '/' ELSE 'd' || k % 13 || '/e' || k % 5 || '/' END
+    || 'm' || k || CASE WHEN k % 4 = 1 THEN '.SQL' ELSE '.sql' END AS module_id,
+  CASE WHEN k % 19 = 7 THEN '' ELSE sql END AS sql, 'm' || k AS stem, k % 17 = 5 AND k % 19 <> 7 AS bad
+FROM (SELECT CAST(module_id AS BIGINT) AS k, sql FROM ({PART_MODULES})) WHERE k % 11 <> 3 AND k % 10 <> 9"""
+
+
 def names(expression: str) -> str:
     return f"array_to_string(list_transform(string_split({expression}, '.'), lambda p: trim(p, '[]')), '.')"
 
@@ -541,6 +553,13 @@ def statements() -> dict[str, str]:
     rewritten = analysis(
         short_modules("CASE WHEN o_orderkey % 10 = 0 THEN (o_orderkey + 1) % 16 ELSE o_orderkey % 16 END")
     )
+    files = {**analysis(f"SELECT module_id, sql FROM ({FILES}) WHERE NOT bad"), "files": FILES}
+    result["folder_scan"] = _with(
+        files,
+        "SELECT module_id AS path, coalesce(name, stem) AS procedure, statement_count,"
+        " risk_rules AS rules FROM metrics JOIN files USING (module_id)",
+    )
+    result["folder_bad_files"] = f"SELECT module_id AS path FROM ({FILES}) WHERE bad"
     result["stored_index"], result["stored_reports"] = result["module_index"], result["report_md"]
     result.update(
         {
