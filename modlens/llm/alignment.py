@@ -48,10 +48,10 @@ from modlens.llm.pieces import joined_ids
 from modlens.session import shared_folder
 
 #: Bytes of text of a part, distinct pieces coded at once, links and words worked on at once: bounds of memory.
-PART_BYTES = 24_000_000
-CODED_PIECES = 40_000
-LINKS = 2_000_000
-WORDS = 400_000
+PART_BYTES = 10_000_000
+CODED_PIECES = 20_000
+LINKS = 1_000_000
+WORDS = 200_000
 
 #: Texts in which a space stands at an end, or behind other white space: those are cut with more care.
 RUNS = r"^ | $|[\s\x0b\x{85}\p{Z}] "
