@@ -54,8 +54,9 @@ UP_TO_AS = (
 )
 
 
-# One token of a parameter block; items and parts are of blocks whose nested marks are hidden.
-BRACKET_TOKEN = rf"[^'()]++|{LITERAL}|[()]"
+# A parameter block as literals and what is between them, and as runs that end behind a bracket.
+LITERAL_OR_TEXT = rf"{LITERAL}|[^']++"
+UP_TO_BRACKET = rf"(?:[^'()]++|{LITERAL})*+[()]|(?:[^'()]++|{LITERAL})++"
 PARAMETER_PARTS = r"\A([^ ]++)(?: ([^=]*+)(?:=([\s\S]*+))?)?\z"
 
 # Statement clean-up, on text whose white space is collapsed.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modlens import schemas
 from modlens.functions import patterns as P
-from modlens.functions.core import bind, chunks_of, each, regex, total, trim, trim_end, where
+from modlens.functions.core import bind, chunks_of, each, regex, trim, trim_end, where
 from modlens.functions.text import collapse_whitespace, normalize_identifier, strip_comments
 
 
@@ -60,48 +60,49 @@ def _parse_item(item: str) -> str:
     return bind(words, fields)
 
 
+def _hidden(value: str) -> str:
+    return f"translate({value}, ',=', '{P.MARK}{P.FIELD}')"
+
+
 def _hide_nested(block: str) -> str:
     """Commas and equals signs inside literals and brackets to marks, at any depth.
 
-    The block is cut into tokens once. The depth behind a run of tokens follows from the depth
-    before it: a closing bracket never takes it below zero, so it is the larger of (depth
-    before plus the run's sum) and (depth that the run reaches from zero). So chunks are
-    measured on their own, chained, and marked: no string grows, and no depth is too deep.
+    Literals first, each on its own. Then the text is cut behind each bracket, and one walk over
+    these runs carries the depth, which a closing bracket never takes below zero. The runs go in
+    chunks, so that what the walk has put together stays short: it costs their number, not its
+    square. Blocks without a bracket are not walked over.
     """
-    tokens = f"regexp_extract_all({block}, {regex(P.BRACKET_TOKEN)}, 0)"
-    delta = "CASE {t} WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END"
-
-    def reach(chunk: str) -> str:
-        one = f"greatest(d + {delta.format(t='t')}, 0)"
-        return f"aggregate({chunk}, 0, (d, t) -> {one})"
-
-    def change(chunk: str) -> str:
-        return total(each(chunk, lambda t: delta.format(t=t)))
+    literals = f"regexp_extract_all({block}, {regex(P.LITERAL_OR_TEXT)}, 0)"
+    plain = (
+        f"CASE WHEN contains({block}, '\\'') THEN array_join("
+        f"{each(literals, lambda t: f"CASE WHEN startswith({t}, '\\'') THEN {_hidden(t)} ELSE {t} END")}"
+        f", '') ELSE {block} END"
+    )
 
-    def mark(chunk: str, depth: str) -> str:
-        hidden = f"translate(t, ',=', '{P.MARK}{P.FIELD}')"
-        shown = f"CASE WHEN a.depth > 0 OR startswith(t, '\\'') THEN {hidden} ELSE t END"
+    def walk(chunk: str, depth: str) -> str:
+        change = "CASE WHEN endswith(t, '(') THEN 1 WHEN endswith(t, ')') THEN -1 ELSE 0 END"
         return (
-            f"aggregate({chunk}, named_struct('depth', {depth}, 'out', cast(array() AS array<string>)),"
-            f" (a, t) -> named_struct('depth', greatest(a.depth + {delta.format(t='t')}, 0),"
-            f" 'out', concat(a.out, array({shown}))), a -> array_join(a.out, ''))"
+            f"aggregate({chunk}, named_struct('depth', {depth}, 'out', ''), (a, t) -> named_struct("
+            f"'depth', greatest(a.depth + {change}, 0),"
+            f" 'out', concat(a.out, CASE WHEN a.depth > 0 THEN {_hidden('t')} ELSE t END)))"
         )
 
-    def depths(measured: str) -> str:
-        last = "coalesce(element_at(a, -1), 0)"
+    def chained(chunks: str) -> str:
+        done = bind(
+            walk("c", "s.depth"),
+            lambda r: f"named_struct('depth', {r}.depth, 'out', concat(s.out, array({r}.out)))",
+        )
         return (
-            f"aggregate({measured}, array(0), (a, m) -> concat(a, array(greatest({last} + m.change, m.reach))))"
+            f"aggregate({chunks}, named_struct('depth', 0, 'out', cast(array() AS array<string>)),"
+            f" (s, c) -> {done}, s -> array_join(s.out, ''))"
         )
 
-    def join(chunks: str) -> str:
-        measured = each(chunks, lambda c: f"named_struct('change', {change(c)}, 'reach', {reach(c)})")
-        marked = bind(
-            depths(measured),
-            lambda d: each(chunks, lambda c, i: mark(c, f"{d}[{i}]"), index=True),
-        )
-        return f"array_join({marked}, '')"
+    def brackets(text: str) -> str:
+        runs = f"regexp_extract_all({text}, {regex(P.UP_TO_BRACKET)}, 0)"
+        walked = bind(runs, lambda r: bind(chunks_of(r), chained))
+        return f"CASE WHEN contains({text}, '(') THEN {walked} ELSE {text} END"
 
-    return bind(tokens, lambda t: bind(chunks_of(t), join))
+    return bind(plain, brackets)
 
 
 def _show_nested(value: str) -> str:

@@ -148,7 +148,8 @@ def nested_modules(spark: SparkSession, folder: str) -> DataFrame:
     """Modules whose parameter defaults nest 1 to 40 calls, with marks inside literals."""
     key = F.col("o_orderkey")
     depth = (key % 40 + 1).cast("int")
-    return spark.read.parquet(f"{folder}/orders.parquet").select(
+    orders = spread(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), _slices(spark))
+    return orders.select(
         key.cast("string").alias("module_id"),
         F.concat(
             F.lit("CREATE PROC p_"),
