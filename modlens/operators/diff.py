@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from modlens.functions.core import text
 from modlens.operators.dependencies import objects_of
-from modlens.operators.rules import RULES
+from modlens.operators.rules import RULES, risk_level
+from modlens.plans.analyze import analyze
+from modlens.sources.config import RuleConfig
 
 # Sets compared, with the category names of their additions and removals.
 CATEGORIES = [
@@ -20,7 +22,7 @@ CATEGORIES = [
 ]
 
 
-def _side(traces: DataFrame, key: str, side: str) -> DataFrame:
+def _side(traces: DataFrame, key: str, side: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the comparison needs of a trace; the module text stays behind."""
     parameter = F.expr(
         "transform(parameters, p -> concat(p.name, ' ', p.data_type,"
@@ -41,6 +43,7 @@ def _side(traces: DataFrame, key: str, side: str) -> DataFrame:
             # Ids travel; their messages are put behind them in the result.
             F.col("rule_ids").alias("risks"),
         ).alias(side),
+        *keep,
     )
 
 
@@ -110,6 +113,55 @@ def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _unchanged(traces: DataFrame, config: RuleConfig | None = None) -> DataFrame:
+    """The comparison of modules whose text is the same on both sides, from one trace.
+
+    Only the name and the broken rules are looked at: the analysis of all else is pruned.
+    """
+    no_names = F.array().cast("array<string>")
+    no_counts = F.struct(
+        *[F.lit(0).alias(c) for c in ("statement_count", "read_count", "write_count")],
+        # Not the level in the metrics: that would keep the counts next to it, and what they count.
+        risk_level(F.col("rule_ids"), config).alias("risk_level"),
+    )
+    side = F.struct(
+        "name",
+        no_counts.alias("metrics"),
+        F.lit(0).alias("temp_table_count"),
+        F.size("rule_ids").alias("risk_count"),
+        *[no_names.alias(c) for c in CATEGORIES],
+    )
+    return _compare(traces.select(F.col("module_id").alias("pair_id"), side.alias("before"), side.alias("after")))
+
+
+def diff_modules(before: DataFrame, after: DataFrame, config: RuleConfig | None = None) -> DataFrame:
+    """:func:`diff_snapshots` from module texts, of which only the changed ones are compared.
+
+    Both snapshots meet by module in one shuffle. A module whose text is equal on both sides is
+    analyzed once and for its name and rules only; the others in full, both versions in the
+    partition where they met, so that their comparison needs no further shuffle. ``module_id``
+    is unique in each snapshot; of repeated rows the greatest text counts.
+    """
+    both = (
+        before.select("module_id", F.lit(0).alias("side"), "sql")
+        .unionByName(after.select("module_id", F.lit(1).alias("side"), "sql"))
+        .groupBy("module_id")
+        .agg(*[F.max(F.when(F.col("side") == k, F.col("sql"))).alias(c) for k, c in enumerate(("b", "a"))])
+    )
+    same = both.where("a = b").select("module_id", F.col("a").alias("sql"))
+    versions = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("sql")) for k, c in enumerate(("b", "a"))]),
+        lambda v: v["sql"].isNotNull(),
+    )
+    changed = both.where("NOT a <=> b").select("module_id", F.explode(versions).alias("v"))
+    traces = analyze(changed.select("module_id", "v.side", "v.sql"), config, keep=("side",))
+    sides = _side(traces, "pair_id", "one", keep=("side",)).groupBy("pair_id")
+    pairs = sides.agg(
+        *[F.first(F.when(F.col("side") == k, F.col("one")), ignorenulls=True).alias(c) for k, c in enumerate(("before", "after"))]
+    )
+    return _compare(pairs).unionByName(_unchanged(analyze(same, config), config))
+
+
 #: A module in more pairs than this is joined in ``SALTS`` parts.
 HOT_PAIRS, SALTS = 100_000, 64
 

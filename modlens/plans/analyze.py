@@ -28,9 +28,11 @@ def _restored_parameter(p: str) -> str:
     return f"named_struct({', '.join(fields)})"
 
 
-def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
+def analyze(
+    modules: DataFrame, config: RuleConfig | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One trace per module: ``module_id, path, snapshot, name, procedure, body, parameters,
-    dependencies, temp_tables, statements, rule_ids, metrics``.
+    dependencies, temp_tables, statements, rule_ids, metrics``, and the columns of ``keep``.
 
     Every step looks at one module only, so the whole analysis is one map stage without a
     shuffle, and columns a query does not use are pruned with their computation. It also
@@ -80,4 +82,5 @@ def analyze(modules: DataFrame, config: RuleConfig | None = None) -> DataFrame:
             count_of("Write").alias("write_count"),
             risk_level(F.col("rule_ids"), config).alias("risk_level"),
         ).alias("metrics"),
+        *keep,
     )

@@ -61,11 +61,11 @@ def _fill(template: Column) -> Column:
     return template
 
 
-def order_modules(orders: DataFrame, template: Column | None = None) -> DataFrame:
+def order_modules(orders: DataFrame, template: Column | None = None, key: str = "o_orderkey") -> DataFrame:
     """One short module per order; ``template`` is a template number, k % 16 by default."""
     number = F.col("o_orderkey") % 16 if template is None else template
     texts = F.array(*[F.lit(t) for t in TEMPLATES])
-    key = F.col("o_orderkey").cast("string")
+    key = F.col(key).cast("string")
     return orders.select(
         key.alias("module_id"),
         F.lit(None).cast("string").alias("path"),
@@ -210,3 +210,17 @@ def module_files(spark: SparkSession, folder: str) -> DataFrame:
     return order_modules(rows).select(
         F.concat(place, F.lit("m"), number, ending).alias("name"), content.alias("content")
     )
+
+
+def repeated_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """A module per order, of which ten or more have one text, and a third of all the same."""
+    orders = spread(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), _slices(spark))
+    key = F.col("o_orderkey")
+    shared = F.when(key % 3 == 0, 0).otherwise(F.floor(key / 40)).cast("long")
+    rows = orders.select(
+        key.alias("own"),
+        shared.alias("o_orderkey"),
+        F.lit("1998-10-03").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    )
+    return order_modules(rows, key="own")

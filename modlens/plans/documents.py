@@ -329,3 +329,87 @@ def object_lists(traces: DataFrame) -> DataFrame:
 
 def flows(traces: DataFrame) -> DataFrame:
     return with_document_parts(traces).select("module_id", "flow")
+
+
+# The headings of a diff's sections, and the sets below them.
+_DIFF_SECTIONS = [
+    ("Parameter Changes", [("Added", "parameters_added"), ("Removed", "parameters_removed")]),
+    (
+        "Dependency Changes",
+        [
+            ("New Tables Read", "tables_read_added"),
+            ("Removed Tables Read", "tables_read_removed"),
+            ("New Tables Written", "tables_written_added"),
+            ("Removed Tables Written", "tables_written_removed"),
+            ("New Procedures Executed", "procedures_executed_added"),
+            ("Removed Procedures Executed", "procedures_executed_removed"),
+        ],
+    ),
+    (
+        "Temp Table Changes",
+        [("New Temp Tables", "temp_tables_added"), ("Removed Temp Tables", "temp_tables_removed")],
+    ),
+    ("Risk Changes", [("Added Risks", "risks_added"), ("Removed Risks", "risks_removed")]),
+]
+
+
+def diff_documents(diff: DataFrame, before_label: str = "pair_id", after_label: str = "pair_id") -> DataFrame:
+    """``pair_id, diff_md, diff_json``: each compared pair as Markdown and as JSON.
+
+    The labels are SQL expressions over the diff's columns. A side that is not there has the
+    procedure ``Unknown`` and the level ``None`` in Markdown, and nulls in JSON.
+    """
+    overview = [
+        ("Before", before_label),
+        ("After", after_label),
+        ("Before Procedure", "coalesce(before_procedure, 'Unknown')"),
+        ("After Procedure", "coalesce(after_procedure, 'Unknown')"),
+        ("Before Risk Level", "coalesce(before_risk_level, 'None')"),
+        ("After Risk Level", "coalesce(after_risk_level, 'None')"),
+    ]
+    deltas = ["statement", "read", "write", "temp_table", "risk"]
+    summary = [(f"{d.replace('_', ' ').title()} Delta", f"{d}_delta") for d in deltas]
+
+    def lines(items: list[tuple[str, str]]) -> str:
+        return _concat(*[f"'- {title}: ', {value}, '\\n'" for title, value in items])
+
+    parts = ["'# Module Diff Report\\n\\n## Overview\\n'", lines(overview), "'\\n## Change Summary\\n'", lines(summary)]
+    for title, sets in _DIFF_SECTIONS:
+        parts.append(f"'\\n## {title}\\n'")
+        parts += [f"'### {heading}\\n', {bullet_list(items)}" for heading, items in sets]
+    parts.append("'- Before Count: ', before_risk_count, '\\n- After Count: ', after_risk_count, '\\n'")
+
+    def changes(name: str) -> F.Column:
+        return F.struct(F.col(f"{name}_added").alias("added"), F.col(f"{name}_removed").alias("removed"))
+
+    document = F.struct(
+        F.struct(
+            F.expr(before_label).alias("before_label"),
+            F.expr(after_label).alias("after_label"),
+            "before_procedure",
+            "after_procedure",
+            "before_risk_level",
+            "after_risk_level",
+        ).alias("overview"),
+        F.struct(*[f"{d}_delta" for d in deltas]).alias("change_summary"),
+        changes("parameters").alias("parameter_changes"),
+        F.struct(
+            *[
+                F.col(f"{name}_{change}").alias(f"{new}_{name}")
+                for name in ("tables_read", "tables_written", "procedures_executed")
+                for change, new in (("added", "new"), ("removed", "removed"))
+            ]
+        ).alias("dependency_changes"),
+        changes("temp_tables").alias("temp_table_changes"),
+        F.struct(
+            F.col("risks_added").alias("added"),
+            F.col("risks_removed").alias("removed"),
+            F.col("before_risk_count").alias("before_count"),
+            F.col("after_risk_count").alias("after_count"),
+        ).alias("risk_changes"),
+    )
+    return diff.select(
+        "pair_id",
+        F.expr(_concat(*parts)).alias("diff_md"),
+        F.to_json(document, _KEEP_NULLS).alias("diff_json"),
+    )

@@ -12,6 +12,7 @@ from modlens.operators import diff, graph, verify
 from modlens.operators.statements import classify
 from modlens.plans import corpus, documents, tables
 from modlens.plans.analyze import analyze, prepare
+from modlens.plans.shared import analyze_shared
 from modlens.session import shared_folder
 from modlens.sources.config import RuleConfig
 from modlens.sources.modules import scan_module_files
@@ -98,8 +99,26 @@ def _module_metrics(traces: DataFrame) -> DataFrame:
 
 
 def _snapshot_diff(spark: SparkSession, folder: str) -> DataFrame:
-    before, after = corpus.snapshots(spark, folder)
-    return diff.diff_snapshots(analyze(before), analyze(after))
+    return diff.diff_modules(*corpus.snapshots(spark, folder))
+
+
+def _diff_documents(spark: SparkSession, folder: str) -> DataFrame:
+    labels = ("concat('before/', pair_id)", "concat('after/', pair_id)")
+    return documents.diff_documents(_snapshot_diff(spark, folder), *labels)
+
+
+def _shared_texts(spark: SparkSession, folder: str) -> DataFrame:
+    traces = analyze_shared(corpus.repeated_modules(spark, folder), hot_texts=1000)
+    return traces.select(
+        "module_id",
+        "procedure",
+        "metrics.statement_count",
+        "metrics.read_count",
+        "metrics.write_count",
+        "metrics.risk_level",
+        F.array_join("rule_ids", ",").alias("rules"),
+        "copies",
+    )
 
 
 def _module_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,6 +339,9 @@ QUERIES: dict[str, Query] = {
     "module_diff": _module_diff,
     "diff_changes": lambda spark, folder: diff.diff_changes(_snapshot_diff(spark, folder)),
     "pair_diff": _pair_diff,
+    "diff_documents": _diff_documents,
+    # texts that many modules share
+    "shared_texts": _shared_texts,
     # documents
     "questions": _on_traces(documents.questions),
     "suggested_queries": _on_traces(documents.suggested_queries),

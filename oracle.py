@@ -470,6 +470,57 @@ _PRESENCE = (
 )
 
 
+def _diff_document() -> tuple[str, str]:
+    """Markdown and JSON of a row of `d`, the compared pairs with their sets as lists."""
+
+    def sets(*names: tuple[str, str]) -> list[str]:
+        return [f"'### {title}\\n' || {_bullets(column)}" for title, column in names]
+
+    # The headings.
+    markdown = _text(
+        "'# Module Diff Report\\n\\n## Overview\\n- Before: before/' || pair_id || '\\n- After: after/' || pair_id",
+        "'\\n- Before Procedure: ' || coalesce(before_procedure, 'Unknown') || '\\n- After Procedure: ' || coalesce(after_procedure, 'Unknown')",
+        "'\\n- Before Risk Level: ' || coalesce(before_risk_level, 'None') || '\\n- After Risk Level: ' || coalesce(after_risk_level, 'None')",
+        "'\\n\\n## Change Summary\\n- Statement Delta: ' || statement_delta || '\\n- Read Delta: ' || read_delta || '\\n- Write Delta: ' || write_delta",
+        "'\\n- Temp Table Delta: ' || temp_table_delta || '\\n- Risk Delta: ' || risk_delta || '\\n\\n## Parameter Changes\\n'",
+        *sets(("Added", "parameters_added"), ("Removed", "parameters_removed")),
+        "'\\n## Dependency Changes\\n'",
+        *sets(("New Tables Read", "tables_read_added"), ("Removed Tables Read", "tables_read_removed")),
+        *sets(("New Tables Written", "tables_written_added"), ("Removed Tables Written", "tables_written_removed")),
+        *sets(("New Procedures Executed", "procedures_executed_added"), ("Removed Procedures Executed", "procedures_executed_removed")),
+        "'\\n## Temp Table Changes\\n'",
+        *sets(("New Temp Tables", "temp_tables_added"), ("Removed Temp Tables", "temp_tables_removed")),
+        "'\\n## Risk Changes\\n'",
+        *sets(("Added Risks", "risks_added"), ("Removed Risks", "risks_removed")),
+        "'- Before Count: ' || before_risk_count || '\\n- After Count: ' || after_risk_count || '\\n'",
+    )
+    json = """CAST(to_json(struct_pack(
+      overview := struct_pack(before_label := 'before/' || pair_id, after_label := 'after/' || pair_id, before_procedure := before_procedure,
+        after_procedure := after_procedure, before_risk_level := before_risk_level, after_risk_level := after_risk_level),
+      change_summary := struct_pack(statement_delta := statement_delta, read_delta := read_delta, write_delta := write_delta,
+        temp_table_delta := temp_table_delta, risk_delta := risk_delta),
+      parameter_changes := struct_pack(added := parameters_added, removed := parameters_removed),
+      dependency_changes := struct_pack(new_tables_read := tables_read_added, removed_tables_read := tables_read_removed,
+        new_tables_written := tables_written_added, removed_tables_written := tables_written_removed,
+        new_procedures_executed := procedures_executed_added, removed_procedures_executed := procedures_executed_removed),
+      temp_table_changes := struct_pack(added := temp_tables_added, removed := temp_tables_removed),
+      risk_changes := struct_pack(added := risks_added, removed := risks_removed, before_count := before_risk_count,
+        after_count := after_risk_count))) AS VARCHAR)"""
+    return markdown, json
+
+
+# Ten or more modules of one text, a third of all of the same.
+REPEATED_MODULES = (
+    "SELECT CAST(own AS VARCHAR) AS module_id, sql, count(*) OVER (PARTITION BY sql) AS copies FROM (SELECT own, sql FROM ("
+    + short_modules("o_orderkey % 16").replace(
+        "SELECT CAST(o_orderkey AS VARCHAR) AS module_id,", "SELECT own,"
+    ).replace(
+        "FROM orders",
+        "FROM (SELECT o_orderkey AS own, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey // 40 END AS o_orderkey,"
+        " '1998-10-03' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM orders)",
+    )
+    + "))"
+)
 DENSE_MODULES = (
     "SELECT CAST(o_orderkey // 8000 AS VARCHAR) AS module_id, 'CREATE PROC d.P AS' || string_agg("
     "' INSERT INTO d.T' || (o_orderkey % 997) || ' SELECT C FROM d.T' || (o_orderkey % 1009), ''"
@@ -560,6 +611,22 @@ def statements() -> dict[str, str]:
         " risk_rules AS rules FROM metrics JOIN files USING (module_id)",
     )
     result["folder_bad_files"] = f"SELECT module_id AS path FROM ({FILES}) WHERE bad"
+    markdown, json = _diff_document()
+    result["diff_documents"] = _with(
+        {
+            **snapshots,
+            "d": "SELECT coalesce(a.module_id, b.module_id) AS pair_id, b.name AS before_procedure, a.name AS after_procedure,"
+            f" b.risk_level AS before_risk_level, a.risk_level AS after_risk_level, {_DELTAS},"
+            f" coalesce(b.risk_count, 0) AS before_risk_count, coalesce(a.risk_count, 0) AS after_risk_count, {_diff_sets(False)}"
+            " FROM b_sides b FULL JOIN a_sides a USING (module_id)",
+        },
+        f"SELECT pair_id, {markdown} AS diff_md, {json} AS diff_json FROM d",
+    )
+    result["shared_texts"] = _with(
+        {**analysis(f"SELECT module_id, sql FROM ({REPEATED_MODULES})"), "repeated": REPEATED_MODULES},
+        f"SELECT module_id, {name_or_stem} AS procedure, statement_count, read_count, write_count, risk_level,"
+        " risk_rules AS rules, copies FROM metrics JOIN repeated USING (module_id)",
+    )
     result["stored_index"], result["stored_reports"] = result["module_index"], result["report_md"]
     result.update(
         {
