@@ -16,8 +16,20 @@ from modlens.plans.shared import analyze_shared
 from modlens.session import shared_folder
 from modlens.sources.config import RuleConfig
 from modlens.sources.modules import scan_module_files
-from modlens.sources.sinks import write_files, write_reports, write_tables
-from modlens.streaming.incremental import append_traces, arriving_modules, latest_traces
+from modlens.sources.sinks import (
+    publish_tables,
+    published_table,
+    write_files,
+    write_reports,
+    write_tables,
+)
+from modlens.streaming.incremental import (
+    append_traces,
+    arriving_files,
+    arriving_modules,
+    latest_traces,
+)
+from modlens.streaming.store import TraceStore, keep_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,14 +243,58 @@ def _join_inflation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _arrived(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored traces of four arrivals, each analyzed by a run of its own."""
+def arrive(spark: SparkSession, folder: str) -> str:
+    """Four arrivals, each analyzed and appended by a run of its own; the folder of the traces."""
     out = shared_folder(spark, "incremental")
     for modules in corpus.arrivals(spark, folder):
         modules.write.mode("append").parquet(f"{out}/modules")
         stream = arriving_modules(spark, f"{out}/modules")
         append_traces(stream, f"{out}/traces", f"{out}/checkpoint").awaitTermination()
-    return latest_traces(spark.read.parquet(f"{out}/traces"))
+    return f"{out}/traces"
+
+
+def _arrived(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_traces(spark.read.parquet(arrive(spark, folder)))
+
+
+def kept_store(spark: SparkSession, folder: str) -> TraceStore:
+    """The same arrivals, and the first once more, taken into a store by module."""
+    out = shared_folder(spark, "store")
+    store = TraceStore(spark, f"{out}/traces", buckets=8)
+    arrivals = corpus.arrivals(spark, folder)
+    again = arrivals[0].where(F.col("module_id").cast("long") % 10 != 0)
+    for modules in (*arrivals, again):
+        modules.write.mode("append").parquet(f"{out}/modules")
+        keep_traces(arriving_modules(spark, f"{out}/modules"), store, f"{out}/checkpoint").awaitTermination()
+    return store
+
+
+def _kept_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.findings(kept_store(spark, folder).traces()).select("module_id", "rule_id", "severity", "rank")
+
+
+def _kept_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of the store by kind, added up from its buckets' summaries."""
+    store = kept_store(spark, folder)
+    levels = store.risk_summary().select(F.expr("stack(4, 'scanned', scanned, 'High', high, 'Medium', medium, 'Low', low) AS (key, modules)"))
+    rules = store.findings_by_rule().select(F.col("rule_id").alias("key"), "modules")
+    uses = store.object_usage().select(F.expr("stack(3, 'Read', readers, 'Write', writers, 'Execute', callers) AS (kind, modules)"), "object")
+    uses = uses.where("modules > 0").select(F.concat_ws(" ", "kind", "object").alias("key"), "modules")
+    return levels.unionByName(rules).unionByName(uses)
+
+
+def _arrived_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files taken into a store in two runs, the second after some came again, some of them changed."""
+    out = shared_folder(spark, "files")
+    store = TraceStore(spark, f"{out}/store", buckets=8)
+    files = corpus.module_files(spark, folder)
+    number = F.regexp_extract("name", "m([0-9]+)[.]", 1).cast("long")
+    changed = F.when(number % 3 == 0, F.lit(b"DELETE FROM gone")).otherwise(F.col("content"))
+    for rows in (files, files.where(number % 2 == 0).withColumn("content", changed)):
+        write_files(rows, f"{out}/sql", "name", "content").write.mode("append").parquet(f"{out}/listing")
+        keep_traces(arriving_files(spark, f"{out}/sql", settle_ms=0), store, f"{out}/checkpoint").awaitTermination()
+    inner = F.substring_index("path", out.rsplit("/", 1)[1] + "/sql/", -1)
+    return store.traces().select(inner.alias("path"), "procedure", F.array_join("rule_ids", ",").alias("rules"))
 
 
 def _incremental_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,6 +321,16 @@ def _stored_index(spark: SparkSession, folder: str) -> DataFrame:
     return index.withColumn("risk_rules", F.array_join("risk_rules", ","))
 
 
+def _published_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables published twice, as one set each time; the index of the latter."""
+    out = shared_folder(spark, "tables")
+    before, after = corpus.snapshots(spark, folder)
+    for modules in (before, after):
+        publish_tables(analyze(modules), out)
+    index = published_table(spark, out, "module_index").drop("snapshot")
+    return index.withColumn("risk_rules", F.array_join("risk_rules", ","))
+
+
 def _stored_reports(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "reports")
     write_reports(_traces(spark, folder), out)
@@ -365,10 +431,14 @@ QUERIES: dict[str, Query] = {
     # streaming
     "incremental_findings": _incremental_findings,
     "latest_index": _latest_index,
+    "kept_findings": _kept_findings,
+    "kept_summary": _kept_summary,
+    "arrived_files": _arrived_files,
     # folders
     "folder_scan": _folder_scan,
     "folder_bad_files": _folder_bad_files,
     # sinks
     "stored_index": _stored_index,
+    "published_index": _published_index,
     "stored_reports": _stored_reports,
 }

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.operators.graph import graph_edges, graph_nodes
 from modlens.plans import documents, tables
 from modlens.session import ship_package
+from modlens.sources import versions
 from modlens.sources.config import RuleConfig
 from modlens.sources.stores import open_store
 
@@ -33,23 +34,52 @@ def write_tables(
 ) -> None:
     """Traces and all their tables, one folder each; module tables by snapshot."""
     stored = write_traces(traces, folder, mode)
+    for name, (table, by) in _all_tables(stored, config).items():
+        table.write.mode(mode).partitionBy(*by).parquet(f"{folder}/{name}")
+
+
+def _all_tables(
+    stored: DataFrame, config: RuleConfig | None
+) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+    """Tables of stored traces, with the columns whose values are folders."""
     keep = ("snapshot",)
-    by_module = {
-        "procedures": tables.procedures(stored, keep),
-        "parameters": tables.parameters(stored, keep),
-        "statements": tables.statements(stored, keep),
-        "dependencies": tables.dependencies(stored, keep),
-        "temp_tables": tables.temp_tables(stored, keep),
-        "findings": tables.findings(stored, config, keep),
-        "module_index": tables.module_index(stored, keep),
+    return {
+        "procedures": (tables.procedures(stored, keep), keep),
+        "parameters": (tables.parameters(stored, keep), keep),
+        "statements": (tables.statements(stored, keep), keep),
+        "dependencies": (tables.dependencies(stored, keep), keep),
+        "temp_tables": (tables.temp_tables(stored, keep), keep),
+        "findings": (tables.findings(stored, config, keep), keep),
+        "module_index": (tables.module_index(stored, keep), keep),
+        "graph_nodes": (graph_nodes(stored), ()),
+        "graph_edges": (graph_edges(stored), ()),
     }
-    for name, table in by_module.items():
-        table.write.mode(mode).partitionBy("snapshot").parquet(f"{folder}/{name}")
-    for name, table in {
-        "graph_nodes": graph_nodes(stored),
-        "graph_edges": graph_edges(stored),
-    }.items():
-        table.write.mode(mode).parquet(f"{folder}/{name}")
+
+
+def publish_tables(traces: DataFrame, folder: str, config: RuleConfig | None = None) -> int:
+    """Traces and all their tables as one set that replaces the former at once; its number.
+
+    Until the last table is written readers have the former set, also if this fails on the way: see
+    ``sources/versions.py``. Read with :func:`published_table`.
+    """
+    spark = traces.sparkSession
+    number, _ = versions.current(spark, folder)
+    place = versions.new_place(folder)
+    stored = write_traces(traces, place)
+    found = _all_tables(stored, config)
+    for name, (table, by) in found.items():
+        table.write.partitionBy(*by).parquet(f"{place}/{name}")
+    forms = {"traces": stored.schema, **{name: table.schema for name, (table, _) in found.items()}}
+    versions.commit(spark, folder, number + 1, {name: f"{place}/{name}" for name in forms}, forms)
+    return number + 1
+
+
+def published_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the latest complete set."""
+    _, parts = versions.current(spark, folder)
+    if name not in parts:
+        raise ValueError(f"{folder} has no published table {name}")
+    return spark.read.schema(versions.schemas(spark, folder)[name]).parquet(parts[name])
 
 
 def write_reports(

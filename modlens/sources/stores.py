@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -63,6 +64,9 @@ class Local:
             f.write(content)
         os.replace(staged, path)
 
+    def remove(self, folder: str) -> None:
+        shutil.rmtree(folder)
+
 
 class Remote:
     """A store of pyarrow's. A write there shows the file only when it is closed."""
@@ -100,6 +104,9 @@ class Remote:
         with self.store.open_output_stream(path) as f:
             f.write(content)
 
+    def remove(self, folder: str) -> None:
+        self.store.delete_dir(folder)
+
 
 def open_store(uri: str) -> Local | Remote:
     """The store of a folder; its `root` is the folder's path there."""

@@ -64,11 +64,12 @@ PART_MODULES = short_modules().replace(
     "FROM orders",
     "FROM (SELECT p_partkey AS o_orderkey, '1998-10-03' AS o_orderdate, p_brand AS o_orderpriority FROM part)",
 )
-FILES = f"""
-SELECT CASE WHEN k % 7 = 0 THEN '' WHEN k % 2 = 0 THEN 'd' || k % 13 || '/' ELSE 'd' || k % 13 || '/e' || k % 5 || '/' END
+ALL_FILES = f"""
+SELECT CASE WHEN k % 11 = 3 THEN 'out/' WHEN k % 7 = 0 THEN '' WHEN k % 2 = 0 THEN 'd' || k % 13 || '/' ELSE 'd' || k % 13 || '/e' || k % 5 || '/' END
     || 'm' || k || CASE WHEN k % 4 = 1 THEN '.SQL' ELSE '.sql' END AS module_id,
   CASE WHEN k % 19 = 7 THEN '' ELSE sql END AS sql, 'm' || k AS stem, k % 17 = 5 AND k % 19 <> 7 AS bad
-FROM (SELECT CAST(module_id AS BIGINT) AS k, sql FROM ({PART_MODULES})) WHERE k % 11 <> 3 AND k % 10 <> 9"""
+FROM (SELECT CAST(module_id AS BIGINT) AS k, sql FROM ({PART_MODULES})) WHERE k % 10 <> 9"""
+FILES = f"SELECT * FROM ({ALL_FILES}) WHERE NOT starts_with(module_id, 'out/')"
 
 
 def names(expression: str) -> str:
@@ -627,6 +628,25 @@ def statements() -> dict[str, str]:
         f"SELECT module_id, {name_or_stem} AS procedure, statement_count, read_count, write_count, risk_level,"
         " risk_rules AS rules, copies FROM metrics JOIN repeated USING (module_id)",
     )
+    again = f"SELECT module_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'DELETE FROM gone' ELSE sql END AS sql, stem, bad FROM (SELECT *, CAST(substr(stem, 2) AS BIGINT) AS k FROM ({ALL_FILES}))"
+    kept = f"SELECT * FROM ({again}) WHERE NOT bad OR sql = 'DELETE FROM gone'"
+    result["arrived_files"] = _with(
+        {**analysis(f"SELECT module_id, sql FROM ({kept})"), "files": kept},
+        "SELECT module_id AS path, coalesce(name, stem) AS procedure, risk_rules AS rules FROM metrics JOIN files USING (module_id)",
+    )
+    result["kept_findings"] = _with(rewritten, "SELECT module_id, rule_id, severity, rank FROM findings")
+    result["kept_summary"] = _with(
+        rewritten,
+        "SELECT 'scanned' AS key, count(*)::BIGINT AS modules FROM metrics"
+        " UNION ALL SELECT l, (SELECT count(*) FROM metrics WHERE risk_level = l)::BIGINT FROM (VALUES ('High'), ('Medium'), ('Low')) v(l)"
+        " UNION ALL SELECT rule_id, count(*)::BIGINT FROM findings GROUP BY 1"
+        " UNION ALL SELECT operation || ' ' || object, count(DISTINCT module_id)::BIGINT FROM deps GROUP BY 1",
+    )
+    result["published_index"] = _with(
+        snapshots,
+        f"SELECT module_id, module_id AS source_file, {key.format(name_or_stem)} || '.md' AS report_file, {name_or_stem} AS procedure,"
+        " statement_count, read_count, write_count, len(temps) AS temp_table_count, risk_count, risk_level, risk_rules FROM a_metrics",
+    )
     result["stored_index"], result["stored_reports"] = result["module_index"], result["report_md"]
     result.update(
         {
