@@ -101,15 +101,27 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.spans = spans
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # Tokens of this kind are written with a letter for each byte; added ones as they are.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token.encode()) if i in added else len(token)
         self.firsts, self.others = Kept(), Kept()
 
     def code(self, pieces: list[str]) -> list:
-        """Ids as bytes; or starts, ends, number of tokens and length."""
+        """Ids as bytes; or starts, ends, number of tokens and length.
+
+        Pieces that begin with the white space before them are coded many at once; first pieces on their own.
+        """
         if self.spans:
             coded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
             return [(array("i", [a for a, _ in e.offsets]).tobytes(), array("i", [b for _, b in e.offsets]).tobytes(), len(e.offsets), len(p)) for p, e in zip(pieces, coded, strict=True)]
-        kind = "H" if self.wide.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if not pieces or not all(p[:1] in (" ", "\n") for p in pieces):
+            return [np.array(e.ids, dtype=self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.array([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces], dtype=np.int64)
+        ids, counts = joined_ids(self.tokenizer, pieces, sizes, self.sizes)
+        data, ends = ids.astype(self.wide).tobytes(), (np.cumsum(counts) * self.wide.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def look_up(self, texts: list[str]) -> list[list]:
         """The codings of the pieces of each text."""
