@@ -46,6 +46,26 @@ TEMPLATES = [
     "SELECT 1;\nGO\nDELETE t\nFROM TB_{a} t\nJOIN TB_{b} s ON s.ID = t.ID\nWHERE s.F = 1",
 ]
 
+# Texts at the edges of the rules for comments, literals, batches and names.
+EDGES = [
+    "CREATE PROC e.P_{k} AS SELECT C FROM TB_{a} /* open; DELETE FROM TB_{b}",
+    'CREATE PROC e.P_{k} AS SELECT [a]]b--c], "q""--r" FROM TB_{a}; DELETE FROM TB_{b} -- x',
+    "CREATE PROC e.P_{k} WITH EXECUTE AS OWNER AS EXEC e.Q_{a}; EXECUTE sp_who;",
+    "SELECT C FROM TB_{a}\nGO 5\nDELETE FROM TB_{b}\n go \nSELECT 1",
+    "CREATE PROC e.P_{k}\r\n@ID INT,\r\n@T CHAR(3) = 'a,b'\r\nAS\r\nSELECT C -- {p}\r\nFROM TB_{a};\r\nGO\r\nSELECT 2",
+    "CREATE PROC e.P_{k} AS UPDATE x SET STATUS = 9 FROM TB_{a} x; UPDATE TB_{b} SET F = 2 WHERE(G = 3)",
+    "ALTER PROCEDURE [e].[P_{k}] @S NVARCHAR(99) AS EXEC(@S); EXECUTE (@S)",
+    "CREATE PROC e.P_{k} AS SELECT N'é漢; ' AS ü FROM TB_{a} WHERE Ä = 'ß; x'; DELETE FROM TB_{b} WHERE ö = 1",
+    "PRINT 'a;b\nGO\n'; SELECT C FROM TB_{a} WHERE D = '{d}'",
+    "SELECT C FROM TB_{a}, TB_{b} CROSS APPLY f(1) ; SELECT C FROM TB_{a} x JOIN TB_{a} y ON x.K = y.K",
+    "SELECT * INTO #T_{k} FROM TB_{a}; SELECT C FROM #T_{k} JOIN ##G ON 1 = 1; DROP TABLE #X",
+    "TRUNCATE TABLE TB_{a}; DELETE TB_{b}; MERGE TB_{a} USING TB_{b} ON 1 = 1;",
+    "/* a /* b */ c */ SELECT C FROM TB_{a} --",
+    "CREATE OR ALTER PROC e.P_{k} AS SELECT C FROM TB_{a} WHERE N = 'it''s'; BEGIN TRAN; INSERT INTO TB_{b} SELECT DISTINCT C FROM TB_{a}; ROLLBACK",
+    "CREATE PROC e.P_{k} AS BEGIN BEGIN UPDATE TB_{a} SET F = 1; END; BEGIN TRY DELETE FROM TB_{b}; END TRY BEGIN CATCH THROW; END CATCH END",
+    "SELECT C FROM [S].[D].[o].[TB_{a}]; SELECT C FROM D..TB_{b}; SELECT COUNT(*) FROM TB_{a} JOIN TB_{b} ON 1 = 1 GROUP  BY K",
+]
+
 
 def _fill(template: Column) -> Column:
     key = F.col("o_orderkey")
@@ -61,10 +81,15 @@ def _fill(template: Column) -> Column:
     return template
 
 
-def order_modules(orders: DataFrame, template: Column | None = None, key: str = "o_orderkey") -> DataFrame:
+def order_modules(
+    orders: DataFrame,
+    template: Column | None = None,
+    key: str = "o_orderkey",
+    texts: list[str] = TEMPLATES,
+) -> DataFrame:
     """One short module per order; ``template`` is a template number, k % 16 by default."""
     number = F.col("o_orderkey") % 16 if template is None else template
-    texts = F.array(*[F.lit(t) for t in TEMPLATES])
+    texts = F.array(*[F.lit(t) for t in texts])
     key = F.col(key).cast("string")
     return orders.select(
         key.alias("module_id"),
@@ -109,6 +134,12 @@ def short_modules(spark: SparkSession, folder: str) -> DataFrame:
     return order_modules(spread(orders, _slices(spark)))
 
 
+def edge_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """A module per order with one of the texts of ``EDGES``; keys have gaps, so number k / 4 decides."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    return order_modules(spread(orders, _slices(spark)), F.floor(F.col("o_orderkey") / 4) % 16, texts=EDGES)
+
+
 def long_modules(spark: SparkSession, folder: str) -> DataFrame:
     return document_modules(
         spread(

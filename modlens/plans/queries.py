@@ -52,6 +52,10 @@ def _on_traces(table: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: table(_traces(spark, folder))
 
 
+def _on_edges(table: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: table(analyze(corpus.edge_modules(spark, folder)))
+
+
 def _on_modules(**columns: str) -> Query:
     """Columns computed from the prepared short modules, given as SQL text."""
     return lambda spark, folder: prepare(corpus.short_modules(spark, folder)).select(
@@ -398,6 +402,15 @@ QUERIES: dict[str, Query] = {
     "object_usage": _on_traces(tables.object_usage),
     "object_lists": _on_traces(documents.object_lists),
     "external_dependencies": _on_traces(_external_dependencies),
+    # texts at the edges of the rules
+    "edge_text": lambda spark, folder: prepare(corpus.edge_modules(spark, folder)).select(
+        "module_id", "code", "body", F.array_join("statement_texts", "|").alias("statements")
+    ),
+    "edge_names": _on_edges(lambda t: t.select("module_id", "name", F.array_join("temp_tables", ",").alias("temps"))),
+    "edge_parameters": _on_edges(tables.parameters),
+    "edge_statements": _on_edges(lambda t: _statement_list(t)),
+    "edge_dependencies": _on_edges(tables.dependencies),
+    "edge_findings": _on_edges(tables.findings),
     # graph
     "graph_nodes": _on_traces(graph.graph_nodes),
     "graph_edges": _on_traces(graph.graph_edges),

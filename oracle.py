@@ -8,7 +8,7 @@ quantifiers, so no pattern is shared.
 from __future__ import annotations
 
 from modlens.operators.rules import RULES
-from modlens.plans.corpus import TEMPLATES
+from modlens.plans.corpus import EDGES, TEMPLATES
 from modlens.plans.documents import DEFAULT_QUESTION, QUESTIONS
 from modlens.plans.queries import CONFIG
 from modlens.schemas import SEVERITY_RANK
@@ -22,7 +22,7 @@ BLANK = r"E' \n\t\r'"
 LITERAL = r"'[^']*(?:'|\z)"
 TOKENS = (
     LITERAL
-    + r"""|"[^"]*(?:"|\z)|\[(?:[^\]]|\]\])*(?:\]|\z)|--[^\n]*|/\*(?s:.*?)\*/|[^'"\[/-]+|(?s:.)"""
+    + r"""|"[^"]*(?:"|\z)|\[(?:[^\]]|\]\])*(?:\]|\z)|--[^\n]*|/\*(?s:.*?)\*/|/\*(?s:.*)\z|[^'"\[/-]+|(?s:.)"""
 )
 DECLARED = (
     r"(?is)^.*?\b(?:CREATE|ALTER)\s+(?:OR\s+ALTER\s+)?(?:PROCEDURE|PROC)\s+[a-z0-9_\[\].]+"
@@ -43,8 +43,8 @@ REFERENCES = [  # keyword pattern, source, operation
 SHORT_TEXT = "replace(replace(replace(replace(replace({template}, '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{a}}', CAST(o_orderkey % 97 AS VARCHAR)), '{{b}}', CAST(100 + o_orderkey % 89 AS VARCHAR)), '{{d}}', substr(CAST(o_orderdate AS VARCHAR), 1, 10)), '{{p}}', o_orderpriority)"
 
 
-def short_modules(number: str = "o_orderkey % 16", condition: str = "true") -> str:
-    templates = "[" + ", ".join(q(t) for t in TEMPLATES) + "]"
+def short_modules(number: str = "o_orderkey % 16", condition: str = "true", texts: list[str] = TEMPLATES) -> str:
+    templates = "[" + ", ".join(q(t) for t in texts) + "]"
     text = SHORT_TEXT.format(template=f"({templates})[CAST({number} AS INTEGER) + 1]")
     return (
         f"SELECT CAST(o_orderkey AS VARCHAR) AS module_id, {text} AS sql"
@@ -164,12 +164,15 @@ def analysis(modules: str, p: str = "", config: dict | None = None) -> dict[str,
         f"{p}mods": modules,
         f"{p}codes": f"""SELECT module_id, array_to_string(list_transform(
             regexp_extract_all(sql, {q(TOKENS)}), lambda t:
-            CASE WHEN starts_with(t, '--') THEN '' WHEN starts_with(t, '/*')
+            CASE WHEN starts_with(t, '--') THEN '' WHEN starts_with(t, '/*') AND (NOT ends_with(t, '*/') OR length(t) < 4)
+            THEN regexp_replace(left(t, -1), '[^\\n]', '', 'g') || right(t, 1) WHEN starts_with(t, '/*')
             THEN regexp_replace(t, '[^\\n]', '', 'g') ELSE t END), '') AS code FROM {p}mods""",
         f"{p}heads": f"""SELECT *, substr(code, length(pre) + 1) AS rest FROM (
             SELECT *, regexp_extract(code, {q(DECLARED)}) AS pre FROM {p}codes)""",
-        f"{p}marks": f"""SELECT *, CASE WHEN pre = '' THEN '' ELSE
-            regexp_extract(rest, '(?is)^.*?\\bAS\\b\\s*') END AS opening FROM {p}heads""",
+        # EXECUTE AS opens no body; it is hidden by as many other characters while the opening is looked for.
+        f"{p}marks": f"""SELECT *, CASE WHEN pre = '' THEN '' ELSE left(rest, length(regexp_extract(
+            regexp_replace(rest, '(?i)\\b(EXECUTE\\s+)AS\\b', '\\1__', 'g'), '(?is)^.*?\\bAS\\b\\s*')))
+            END AS opening FROM {p}heads""",
         f"{p}bodies": f"""SELECT *, regexp_replace(body, {q(LITERAL)}, '  ', 'g') AS kw,
             list_sort(list_distinct(regexp_extract_all(body, '#{{1,2}}[A-Za-z0-9_]+'))) AS temps
             FROM (SELECT module_id, code, nullif({names("regexp_extract(pre, '[A-Za-z0-9_\\[\\].]+$')")}, '') AS name,
@@ -628,6 +631,17 @@ def statements() -> dict[str, str]:
         f"SELECT module_id, {name_or_stem} AS procedure, statement_count, read_count, write_count, risk_level,"
         " risk_rules AS rules, copies FROM metrics JOIN repeated USING (module_id)",
     )
+    edges = analysis(short_modules("(o_orderkey // 4) % 16", texts=EDGES))
+    for name, select in {
+        "edge_text": "SELECT module_id, code, body, coalesce(statements, '') AS statements FROM bodies LEFT JOIN"
+        " (SELECT module_id, string_agg(s, '|' ORDER BY stmt_index) AS statements FROM stmts GROUP BY 1) USING (module_id)",
+        "edge_names": "SELECT module_id, name, array_to_string(temps, ',') AS temps FROM bodies",
+        "edge_parameters": "SELECT * FROM parameters",
+        "edge_statements": short_queries["statement_list"],
+        "edge_dependencies": "SELECT * FROM deps",
+        "edge_findings": "SELECT * FROM findings",
+    }.items():
+        result[name] = _with(edges, select)
     again = f"SELECT module_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'DELETE FROM gone' ELSE sql END AS sql, stem, bad FROM (SELECT *, CAST(substr(stem, 2) AS BIGINT) AS k FROM ({ALL_FILES}))"
     kept = f"SELECT * FROM ({again}) WHERE NOT bad OR sql = 'DELETE FROM gone'"
     result["arrived_files"] = _with(
