@@ -1,7 +1,7 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
 1. Every part sends the sorted 64-bit fingerprints of its texts to their owners (see exchange.py).
-2. The owners answer with a bitmap (class 0: one row has it; higher: more than one).
+2. The owners answer with a class for each (0: one row has it; higher: more than one).
 3. Each part finds its suspects. Equal suspects of a task, compared as texts, are
    represented by one of them, so a group of copies sends one text per task, whatever its size.
 4. Only the representatives' texts are shuffled, and grouped by their bytes. Other rows move without text.
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlens.llm.exchange import SENT, Answers, answers, sender, with_parts
+from modlens.llm.exchange import SENT, Answers, answers, owner_count, sender, with_parts
 from modlens.session import shared_folder
 
 #: Rows of a part, each with one fingerprint.
@@ -43,8 +43,8 @@ def find_suspects(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A stored row per document: row, doc_id, sha256, and for suspects same_as (row of the representative) and its text."""
     spark = df.sparkSession
     folder = shared_folder(spark, "exact-dedup")
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_parts(df, [F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id")], PART_ROWS, folder)
+    owners = owner_count(texts, texts.count())  # counted from the files' footers
     sent = texts.select("part", "text").mapInArrow(sender(fingerprint, owners, 64), SENT)
     answers(sent, f"{folder}/answers", shared_only=False)
 

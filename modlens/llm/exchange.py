@@ -7,6 +7,10 @@ what it gets and answers each part. Texts and ids stay where they are.
 A part is so many rows on end of one Parquet file, so the answers find their part again however Spark cuts
 files into tasks, then and later. A table that is no plain scan of Parquet files is stored first. Answers are
 stored in the shared folder, a directory per part; a task reads those of the parts it works on, nothing larger.
+
+An answer names the fingerprints again, Golomb-coded, with a byte each for how often they are; a bitmap in the order of
+what was sent would do for duplicates alone. A part without rows with text sends nothing and gets nothing; a
+table without rows has no parts, no messages and no answers.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from modlens.llm.files import open_store
 RUN = 1_500_000
 #: Codes that are packed or unpacked at once.
 STEP = 65_536
+#: Fingerprints that one owner is to merge, about: a bound of memory, not of results.
+OWNER_PRINTS = 8_000_000
 SENT = "part string, owner long, codes binary, counts binary"
 ANSWER = "part string, owner long, codes binary, classes binary"
 
@@ -114,6 +120,17 @@ def golomb_decode(data: bytes) -> np.ndarray:
     return head + np.cumsum(gaps, dtype=np.uint64)
 
 
+def owner_count(df: DataFrame, prints: float) -> int:
+    """How many owners share about so many fingerprints: no fewer than there are shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-int(prints) // OWNER_PRINTS))
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table of :func:`with_parts` is read from."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().collectLeaves().head().stats().sizeInBytes()))
+
+
 def owner_of(values: np.ndarray, owners: int, bits: int) -> np.ndarray:
     """The owner of each value of so many bits (32 at least): equal ranges in the order of the values."""
     return ((values >> np.uint64(bits - 32)) * np.uint64(owners)) >> np.uint64(32)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from modlens.llm import memory
 from modlens.llm.components import connected_components
-from modlens.llm.exchange import SENT, Answers, answers, sender, with_parts
+from modlens.llm.exchange import SENT, Answers, answers, owner_count, sender, stored_bytes, with_parts
 from modlens.session import shared_folder
 
 WORDS = 5
@@ -52,6 +52,8 @@ RARITY_BITS = 48
 MAP_BITS = 512
 #: Rows of a part of the rarity exchange.
 PART_ROWS = 4096
+#: About how many shingles a byte of compressed Parquet has; it only sets the number of owners.
+PRINTS_A_BYTE = 0.5
 #: Prefix matches a document may require.
 NEEDS = (1, 2, 3, 4)
 #: Cost of a candidate against a row of a list.
@@ -135,8 +137,8 @@ def parity_map(values: np.ndarray) -> bytes:
 def prepare(df: DataFrame, folder: str, doc_id: str, text: str) -> DataFrame:
     """A stored row per document: row, doc_id, s, and where links are possible the set's digest, its shared shingles, prefix and map."""
     spark = df.sparkSession
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_parts(df, [F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{doc_id}`").alias("doc_id")], PART_ROWS, folder)
+    owners = owner_count(texts, PRINTS_A_BYTE * stored_bytes(texts))
     sent = texts.select("part", "text").mapInArrow(sender(rarity_prints, owners, RARITY_BITS), SENT)
     answers(sent, f"{folder}/answers", shared_only=True)
     kind = df.schema[doc_id].dataType.simpleString()

@@ -91,6 +91,35 @@ def test_counts_of_answers(spark, tmp_path):
     assert dict(zip(values.tolist(), classes.tolist(), strict=True)) == {5: 12, 7: 8, 1 << 40: 12}
 
 
+def test_owners_follow_the_table(spark, docs, tmp_path, monkeypatch):
+    """However few shuffle partitions are set, an owner merges a bounded share of the fingerprints."""
+    rows = small() + near_copies(30)
+    docs(rows, 4).write.parquet(str(tmp_path / "in"))
+    frame = spark.read.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(exchange, "OWNER_PRINTS", 20)
+    monkeypatch.setattr(exact, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        kept = {r.doc_id: r.keep_id for r in exact.exact_duplicates(frame).collect()}
+        assert exchange.stored_bytes(frame.select("text")) > 1000
+        monkeypatch.setattr(exchange, "OWNER_PRINTS", 5000)
+        joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    owned = {}
+    for file in (tmp_path / "exact-dedup" / "answers").glob("part=*/*.parquet"):
+        table = pq.ParquetFile(file).read(columns=["owner", "codes"]).to_pydict()
+        for owner, codes in zip(table["owner"], table["codes"], strict=True):
+            owned.setdefault(owner, set()).update(exchange.golomb_decode(codes).tolist())
+    assert len(owned) > 8 and max(map(len, owned.values())) < 50
+    last = {}
+    for k, t in rows:
+        last[t or ""] = max(k, last.get(t or "", k))
+    assert kept == {k: last[t or ""] for k, t in rows}
+    assert joined == components(rows)
+
+
 def answered(folder):
     """Rows of each part's answers, below a shared folder."""
     found = {}
