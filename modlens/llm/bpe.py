@@ -1,10 +1,11 @@
 """BPE encoding and decoding by an index of pair occurrences.
 
-The words of a block lie in one linked list of symbols. An index maps each mergeable pair to all its
-positions; a heap holds the ranks of pairs that have positions. The lowest rank is taken, applied at its
-positions from left to right, and each merge updates the lists of the pairs that it makes. So a pair
-is looked up once per block however many words hold it. Where a merge makes a pair of a lower rank than
-the one at work, that pair goes first, so every word comes out as if it were encoded alone.
+The new words of a block of text lie in one linked list of symbols. An index maps each mergeable pair to all its
+positions; a heap holds the ranks of pairs that have positions. The lowest rank is taken and applied at all
+its positions at once, in arrays, and the pairs that this makes go into the index. So a pair costs a few
+array operations per block however many words hold it. Where a merge may make a pair of a lower rank than
+the one at work, it is applied at one position of each word at a time, so that such a pair goes first and every word
+comes out as if it were encoded alone.
 
 Defined results: a null text counts as empty and has no ids; special tokens written in a text become
 their ids, as in the library; texts of any length are encoded whole. Rows are independent: repeated
@@ -34,10 +35,10 @@ from pyspark.sql import types as T
 
 from modlens.llm import memory
 
-#: Symbols merged at once, words kept, and bytes of text worked on at once: bounds of memory, not of results.
-BLOCK_SYMBOLS = 80_000
+#: New words merged at once, words kept, and bytes of text worked on at once: bounds of memory, not of results.
+BLOCK_WORDS = 100_000
 KEPT_WORDS = 200_000
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 
 #: Unicode's white space, without the four separators that Python's str.split adds.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -51,72 +52,106 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-def merge_block(words: list[list[int]], merges: dict[int, tuple[int, int]], by_rank: list[tuple[int, int, int]]) -> list[list[int]]:
-    """The words with all merges applied. merges: pair (left << 32 | right) to (rank, merged symbol)."""
-    symbols = [s for word in words for s in word]
-    after = list(range(1, len(symbols) + 1))
-    before = list(range(-1, len(symbols) - 1))
-    first = []
-    at = 0
-    for word in words:
-        first.append(at)
-        if word:
-            before[at] = -1
-            at += len(word)
-            after[at - 1] = -1
-    where: dict[int, list[int]] = {}  # the positions of each pair that merges
-    for i, j in enumerate(after):
-        if j >= 0 and (key := symbols[i] << 32 | symbols[j]) in merges:
-            if key in where:
-                where[key].append(i)
+class Rules:
+    """Merges in order of their ranks, as arrays. made: the symbol that each makes."""
+
+    def __init__(self, left: list[int], right: list[int], made: list[int]):
+        self.left, self.right, self.made = (np.array(x, dtype=np.int64) for x in (left, right, made))
+        ranks = np.arange(len(self.left))
+        pairs = self.left << 32 | self.right
+        self.order = np.argsort(pairs)
+        self.pairs = pairs[self.order]
+        # Merges whose symbol is in a pair of no higher rank: what they make may have to go first.
+        lowest = np.full(max([0, *left, *right, *made]) + 1, len(ranks))
+        np.minimum.at(lowest, self.left, ranks)
+        np.minimum.at(lowest, self.right, ranks)
+        self.careful = lowest[self.made] <= ranks
+
+    def ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it does not merge."""
+        if not len(self.pairs):
+            return np.full(len(pairs), -1)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.order[at], -1)
+
+
+def merge(symbols: np.ndarray, sizes: np.ndarray, rules: Rules) -> np.ndarray:
+    """Applies all merges to words that lie one after the other; absorbed symbols become -1, in place.
+
+    An index maps each pair that merges, by its rank, to all its positions. The lowest rank is applied at
+    all of them, and the pairs that this makes are put into the index.
+    """
+    total, some = len(symbols), sizes > 0
+    ends = np.cumsum(sizes)
+    after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+    after[ends[some] - 1] = -1
+    before[(ends - sizes)[some]] = -1
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    index: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def put(positions: np.ndarray, pairs: np.ndarray) -> None:
+        ranks = rules.ranks(pairs)
+        known = ranks >= 0
+        ranks, positions = ranks[known], positions[known]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, own in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(positions, cuts) if len(cuts) else [positions], strict=True):
+            if rank in index:
+                index[rank].append(own)
             else:
-                where[key] = [i]
-    ranks = [merges[key][0] for key in where]
-    heapq.heapify(ranks)
-    while ranks:
-        rank = heapq.heappop(ranks)
-        left, right, merged = by_rank[rank]
-        positions = where.pop(left << 32 | right, None)
-        if positions is None:
-            continue
-        positions.sort()
-        for n, i in enumerate(positions):
-            if symbols[i] != left or (j := after[i]) < 0 or symbols[j] != right:
-                continue  # taken by an earlier merge
-            k, h = after[j], before[i]
-            symbols[i], symbols[j], after[i] = merged, -1, k
-            lower = False
-            if k >= 0:
-                before[k] = i
-                if (key := merged << 32 | symbols[k]) in merges:
-                    made = merges[key][0]
-                    lower = made < rank
-                    if key in where:
-                        where[key].append(i)
-                    else:
-                        where[key] = [i]
-                        heapq.heappush(ranks, made)
-            if h >= 0 and (key := symbols[h] << 32 | merged) in merges:
-                made = merges[key][0]
-                lower = lower or made < rank
-                if key in where:
-                    where[key].append(h)
-                else:
-                    where[key] = [h]
-                    heapq.heappush(ranks, made)
-            if lower and n + 1 < len(positions):
-                where[left << 32 | right] = positions[n + 1 :]
-                heapq.heappush(ranks, rank)
-                break
-    out = []
-    for start, word in zip(first, words, strict=True):
-        ids = []
-        i = start if word else -1
-        while i >= 0:
-            ids.append(symbols[i])
-            i = after[i]
-        out.append(ids)
-    return out
+                index[rank] = [own]
+                heapq.heappush(waiting, rank)
+
+    begin = np.flatnonzero(after >= 0)
+    put(begin, symbols[begin] << 32 | symbols[np.minimum(begin + 1, max(0, total - 1))])
+    while waiting:
+        rank = heapq.heappop(waiting)
+        lists = index.pop(rank)
+        at = np.sort(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+        if len(at) > 1:
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+        left, right, made = rules.left[rank], rules.right[rank], rules.made[rank]
+        second = after[at]
+        there = (symbols[at] == left) & (second >= 0) & (symbols[second] == right)
+        if not there.all():
+            at, second = at[there], second[there]
+            if not len(at):
+                continue
+        if rules.careful[rank]:
+            # One position of each word, the leftmost; the others wait until all lower ranks are done.
+            first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
+            if not first.all():
+                index[rank] = [at[~first]]
+                heapq.heappush(waiting, rank)
+                at, second = at[first], second[first]
+        elif left == right and len(at) > 1:
+            # In a row of equal symbols every other pair merges, from the left.
+            number = np.arange(len(at))
+            row = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != second[:-1]]), number, 0))
+            every = (number - row) % 2 == 0
+            at, second = at[every], second[every]
+        third = after[second]
+        symbols[at], symbols[second], after[at] = made, -1, third
+        inner = third >= 0
+        here, third = at[inner], third[inner]
+        before[third] = here
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        put(np.concatenate([here, ahead]), np.concatenate([made << 32 | symbols[third], symbols[ahead] << 32 | made]))
+    return symbols
+
+
+def merge_block(words: list[list[int]], merges: dict[int, tuple[int, int]], by_rank: list[tuple[int, int, int]]) -> list[list[int]]:
+    """:func:`merge` for words given as lists. merges: pair (left << 32 | right) to (rank, symbol); by_rank: the same by rank."""
+    rules = Rules(*([r[k] for r in by_rank] for k in range(3)))
+    symbols = np.array([s for word in words for s in word], dtype=np.int64)
+    sizes = np.array([len(word) for word in words], dtype=np.int64)
+    done = np.split(merge(symbols, sizes, rules), np.cumsum(sizes)[:-1])
+    return [word[word >= 0].tolist() for word in done]
 
 
 class WordBPE:
@@ -135,33 +170,21 @@ class WordBPE:
         letters = byte_letters()
         self.symbol = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
-        self.merges: dict[int, tuple[int, int]] = {}
-        self.by_rank: list[tuple[int, int, int]] = []
-        for rank, (left, right) in enumerate(model["merges"]):
-            a, b, made = self.vocab[left], self.vocab[right], self.vocab[left + right]
-            self.by_rank.append((a, b, made))
-            self.merges[a << 32 | b] = rank, made
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-
-    def decode(self, ids: list[int]) -> str:
-        """As the library without a decoder: tokens joined by spaces; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
-
-    def _pieces(self, word: str) -> list[list[int]]:
-        """A word without white space as symbols of its pre-tokens."""
-        if word in self.special:
-            return [[self.special[word]]]
+        merges = [(self.vocab[x], self.vocab[y], self.vocab[x + y]) for x, y in model["merges"]]
+        self.rules = Rules(*map(list, zip(*merges, strict=True)))
+        self.symbol, self.last = np.array(self.symbol, dtype=np.int64), np.array(self.last, dtype=np.int64)
+        #: Each token's text, a space behind it; nothing for unknown ids.
+        size = max(self.tokens) + 1
+        self.written = pa.array([(self.tokens[i] + " ").encode() if i in self.tokens else b"" for i in range(size)], pa.binary())
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def _pieces(self, word: str) -> list[str]:
+        """The pre-tokens of a word without white space, special tokens apart."""
         if word.isascii():
             text = word.lower()
-            pieces = [text] if text.isalpha() else self.words.findall(text)
-        else:
-            pieces = self.words.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
-        out = []
-        for piece in pieces:
-            data = piece.encode("utf-8", "surrogatepass")
-            out.append([self.symbol[b] for b in data[:-1]] + [self.last[data[-1]]])
-        return out
+            return [text] if text.isalpha() else self.words.findall(text)
+        return self.words.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
 
     def split(self, text: str) -> list[str]:
         """White-space separated words, special tokens apart."""
@@ -178,29 +201,36 @@ class WordBPE:
         for word in words:
             if (coding := self.older.get(word)) is not None:
                 self.kept[word] = coding
+            elif word in self.special:
+                self._keep([word], np.array([self.special[word]]), np.array([1]))
             else:
                 fresh.append(word)
-        names, pieces, counts, size = [], [], [], 0
-
-        def flush() -> None:
-            done = iter(merge_block(pieces, self.merges, self.by_rank))
-            for name, n in zip(names, counts, strict=True):
-                ids = [i for _ in range(n) for i in next(done)]
-                self.kept[name] = array("i", ids).tobytes(), self.decode(ids)
-
-        for word in fresh:
-            own = self._pieces(word)
-            names.append(word)
-            counts.append(len(own))
-            pieces += own
-            size += sum(map(len, own))
-            if size >= BLOCK_SYMBOLS:
-                flush()
-                names, pieces, counts, size = [], [], [], 0
-        flush()
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
+        for k in range(0, len(fresh), BLOCK_WORDS):
+            names = fresh[k : k + BLOCK_WORDS]
+            pieces = [self._pieces(w) for w in names]
+            data = [p.encode("utf-8", "surrogatepass") for own in pieces for p in own]
+            sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+            letters, ends = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum(sizes)
+            symbols = self.symbol[letters]
+            symbols[ends - 1] = self.last[letters[ends - 1]]
+            merge(symbols, sizes, self.rules)
+            left = symbols >= 0
+            of_word = np.repeat(np.arange(len(names)), np.fromiter(map(len, pieces), dtype=np.int64, count=len(names)))
+            counts = np.bincount(np.repeat(of_word, sizes)[left], minlength=len(names))
+            self._keep(names, symbols[left], counts)
+
+    def _keep(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Notes the ids of words, as bytes, and the text of their tokens."""
+        texts = self.written.take(pa.array(ids))
+        lengths = np.frombuffer(texts.buffers()[1], dtype=np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int32)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        data, plain = ids.astype("<i4").tobytes(), (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(ids) else b""
+        at, text_at = (ends * 4).tolist(), lengths[ends].tolist()
+        for k, name in enumerate(names):
+            self.kept[name] = data[at[k] : at[k + 1]], plain[text_at[k] : text_at[k + 1]]
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids as little-endian 32-bit integers, and the decoded text in UTF-8, of each text."""
         split = [self.split(t) for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.older, self.kept = self.kept, {}
@@ -212,7 +242,7 @@ class WordBPE:
         for words in split:
             found = [kept[w] for w in words]
             ids.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found if f[1]]))
+            decoded.append(b"".join([f[1] for f in found])[:-1])  # tokens are joined by spaces
         return ids, decoded
 
 
@@ -264,6 +294,6 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str =
                 values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32), type=pa.int32())
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 names = [*[f.name for f in kept], ids, decoded]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, values), pa.array(plain, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, values), pa.array(plain, pa.binary()).cast(pa.string())], names=names)
 
     return source.mapInArrow(run, schema)
