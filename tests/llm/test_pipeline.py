@@ -2,6 +2,7 @@ import collections
 
 import corpus_pipeline
 from brute import WORD, components, taken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from modlens.llm.queries import vocabulary
@@ -48,5 +49,27 @@ def test_odd_documents(spark, docs, tmp_path):
         assert (frame.count() > 0) == (not k)
 
 
+def test_columns_of_any_name_pass(spark, docs, tmp_path):
+    """Extra columns keep their values, also those named like what the stages add for themselves."""
+    names = ["__key", "__first", "__toxicity", "__row", "__copies", "__rows", "__own", "__copy", "row", "key", "score"]
+    rows = [(k, f"document number {k} has some words of its own {k * 7}", f"s{k % 2}") for k in range(12)]
+    frame = docs(rows)
+    for name in names:
+        frame = frame.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, frame, SMALL).write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+        assert set(frame.columns) == {"doc_id", "text", "lang", "source", "n_chars", *names}
+        assert all(r[n] == f"{n} of {r.doc_id}" for r in frame.collect() for n in names), name
+    assert {r.doc_id for r in frame.collect()} <= set(range(12)) and frame.count()  # the mix takes some not at all
+
+
+def test_run_keeps_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    done = corpus_pipeline.run(spark, SMALL)
+    assert done.count() > 0
+    assert [p.name for p in (tmp_path / "pipeline").iterdir()] == ["4-bpe"]
+
+
 def test_words_pattern():
     assert WORD.findall(" a b\x0bc ") == ["a b", "c"]
