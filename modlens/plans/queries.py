@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modlens.functions import identifiers, text
 from modlens.operators import diff, graph, verify
 from modlens.operators.statements import classify
-from modlens.plans import corpus, documents, tables
+from modlens.plans import chunks, corpus, documents, tables
 from modlens.plans.analyze import analyze, prepare
 from modlens.plans.shared import analyze_shared
 from modlens.session import shared_folder
@@ -193,6 +193,12 @@ def _long_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _chunked_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Long modules in chunks of 3,000 characters, put together again."""
+    found = chunks.whole_texts(chunks.chunked_code(corpus.long_modules(spark, folder), 3000), "code", "blanked")
+    return found.select("module_id", F.length("code").alias("code_chars"), F.md5("code").alias("code_md5"), F.md5("blanked").alias("blanked_md5"))
+
+
 def _long_dependencies(spark: SparkSession, folder: str) -> DataFrame:
     traces = analyze(corpus.long_modules(spark, folder))
     return tables.dependencies(traces).select("module_id", "ord", "object", "operation", "source")
@@ -432,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "context_text": _on_traces(documents.context_text),
     # long modules
     "long_module_text": _long_text,
+    "chunked_text": _chunked_text,
     "long_module_findings": _long_findings,
     "long_module_dependencies": _long_dependencies,
     "dense_module_dependencies": _dense_dependencies,

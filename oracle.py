@@ -700,6 +700,12 @@ def statements() -> dict[str, str]:
                 " length(body) AS body_chars, len(texts) AS statements"
                 " FROM bodies JOIN lists USING (module_id)",
             ),
+            "chunked_text": _with(
+                long,
+                "SELECT module_id, length(code) AS code_chars, md5(code) AS code_md5, md5("
+                + masked.replace("body", "code")
+                + ") AS blanked_md5 FROM codes",
+            ),
             "long_module_findings": _with(long, "SELECT module_id, rule_id, severity FROM findings"),
             "long_module_dependencies": _with(
                 long, "SELECT module_id, ord, object, operation, source FROM deps"
