@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from modlens.llm import memory
 
 #: New words merged at once, words kept, and bytes of text worked on at once: bounds of memory, not of results.
-BLOCK_WORDS = 100_000
-KEPT_WORDS = 200_000
-BATCH_BYTES = 4_000_000
+BLOCK_WORDS = 40_000
+KEPT_WORDS = 150_000
+BATCH_BYTES = 2_000_000
 
 #: Unicode's white space, without the four separators that Python's str.split adds.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
