@@ -56,6 +56,35 @@ def test_arrivals(store, spark):
     same(store, spark, list(rows.items()))
 
 
+def test_layers_below_are_not_written_again(store, spark, monkeypatch):
+    """Arrivals add layers with what is new; the sums hold what was replaced, also when layers become one."""
+    monkeypatch.setattr("modlens.streaming.store.LAYERS", 3)
+    rows = {f"m{k}": SQL.format(n=k) for k in range(40)}
+    store.upsert(frame(spark, list(rows.items())))
+    for batch in range(5):
+        changes = {"m1": f"SELECT {batch} FROM a{batch}", f"m{batch + 2}": "DELETE FROM gone", f"new{batch}": "EXEC q"}
+        rows |= changes
+        before = store._layers()[1]
+        number = store.upsert(frame(spark, list(changes.items())))
+        after = store._layers()[1]
+        for b in after:
+            assert len(after[b]) <= 4 and (after[b] == before[b] or after[b][-1].number == number)
+            assert len(before[b]) >= 3 or after[b][: len(before[b])] == before[b]
+        if batch == 0:
+            written = spark.read.parquet(f"{store._places()[1][next(b for b in after if after[b] != before[b])]}/traces")
+            assert written.count() == 3
+        same(store, spark, list(rows.items()))
+    assert max(len(of) for of in after.values()) > 1
+    store.vacuum(keep=1)
+    same(store, spark, list(rows.items()))
+
+
+def test_a_large_batch_is_dealt_to_many_tasks(store, spark):
+    store.upsert(frame(spark, [(f"m{k}", f"SELECT {k}") for k in range(24_000)]))
+    files = spark.read.parquet(f"{next(iter(store._places()[1].values()))}/traces").inputFiles()
+    assert len(files) == 16  # twice the cores, though there are 8 buckets and ``files`` is 1
+
+
 def test_only_touched_buckets_are_read(store, spark, monkeypatch):
     store.upsert(frame(spark, [(f"m{k}", SQL.format(n=k)) for k in range(60)]))
     asked = []
