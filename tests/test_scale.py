@@ -1,10 +1,12 @@
 """Long and dense modules stay affordable, and plans keep their shape."""
 
+import re
 import time
 
 import pytest
 
 from modlens import analyze
+from modlens.functions import patterns
 from modlens.plans import corpus, documents, tables
 
 LONG = {
@@ -97,6 +99,13 @@ def test_parameters_nest_to_any_depth(modules, depth):
     assert found[0].default_value == nested(depth)[len("CREATE PROC p @a INT = ") : -len(", @b INT AS SELECT 1")]
 
 
+def test_brackets_of_one_kind_are_one_step():
+    """Forty brackets in a row are one run, so that a walk over the runs does not grow with the depth."""
+    pattern = patterns.BRACKET_RUNS.replace(r"\z", r"\Z")  # as Python writes it
+    runs = [m.group() for m in re.finditer(pattern, "f(')', " + "g(" * 40 + "'x(', 1" + ")" * 40 + ", b) c = (d")]
+    assert runs == ["f(", "')', g", "(" + "g(" * 39, "'x(', 1", ")" * 40, ", b", ")", " c = ", "(", "d"]
+
+
 OF_MANY = {
     "dependencies": tables.dependencies,
     "usage": tables.object_usage,
