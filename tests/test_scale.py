@@ -4,10 +4,13 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from modlens import analyze
-from modlens.functions import patterns
+from modlens.functions import core, patterns
+from modlens.operators.diff import diff_modules
 from modlens.plans import corpus, documents, tables
+from modlens.streaming.incremental import latest_traces
 
 LONG = {
     "no_hit": "lorem ipsum dolor sit amet " * 20_000,
@@ -131,3 +134,26 @@ def test_time_follows_the_number_of_references(modules, name):
     seconds(2_000)
     few = max(1.0, seconds(20_000))
     assert seconds(40_000) < 3 * few
+
+
+def test_latest_traces_read_what_is_needed(spark, modules, tmp_path):
+    """Columns that are not asked for are neither read nor shuffled."""
+    for k, sql in enumerate(("SELECT * FROM t", "DELETE FROM t")):
+        analyze(modules({"m": sql})).withColumn("arrived", F.lit(k).cast("timestamp")).write.mode("append").parquet(str(tmp_path / "t"))
+    latest = latest_traces(spark.read.parquet(str(tmp_path / "t")), ("rule_ids",))
+    assert [(r.module_id, r.rule_ids) for r in latest.collect()] == [("m", ["delete_without_where"])]
+    assert "statements" not in plan(latest) and "dependencies" not in plan(latest)
+
+
+def test_changed_modules_are_analyzed_by_many_tasks(modules):
+    """Adaptive execution joins small partitions of text unless their number is given."""
+    text = plan(diff_modules(modules({"m": "SELECT 1"}), modules({"m": "SELECT 2"})))
+    assert "hashpartitioning(module_id#" in text and "REPARTITION_BY_NUM" in text and "ENSURE_REQUIREMENTS" not in text
+
+
+def test_trim_passes_visible_ends_through(spark):
+    """As the trim of all white space, at each kind of end."""
+    values = ["", " ", "a", " a", "a\n", "a b", "　x", "x ", "é", "éa", "aé", "\x7fa", "a\x7f", "!", "~", "\x00a", "a\x00", None]
+    rows = spark.createDataFrame([(v,) for v in values], "s string")
+    assert core.trim("s").startswith("CASE WHEN")
+    assert [r.a for r in rows.selectExpr(f"{core.trim('s')} AS a").collect()] == [v and v.strip(core.WS_CHARS) for v in values]
