@@ -4,6 +4,7 @@ import random
 import pyarrow.parquet as pq
 import pytest
 from brute import components, removed_lines
+from pyspark.sql import functions as F
 
 from modlens.llm import exact, exchange, lines, ngram_join
 from modlens.llm.components import connected_components
@@ -226,6 +227,32 @@ def test_line_matches_and_cleaning(docs):
     assert cleaned == {1: "a b c d e\nkeep", 2: "x", 3: "\n", 4: None}
 
 
+@pytest.mark.parametrize("cold", [1, 3])
+def test_lines_by_class(docs, monkeypatch, cold):
+    """Lists of low and of high class give the same: groups of near copies, lines of common words, few shared words."""
+    rows = [(k, " ".join(f"w{j}" for j in range(40) if j not in (k % 7, 7 + k % 5, 20 + k))) for k in range(16)]
+    rows += [(100 + k, "\n".join(" ".join(f"c{(k * m + j) % 13}" for j in range(9)) for m in range(1, 4))) for k in range(12)]
+    rows = [(-1, "a b c d e\tf"), *rows, (200, "a\x0bb c d\x0ce f f"), (201, "a b c\rd e g")]
+    monkeypatch.setattr(lines, "COLD", cold)
+    got = {(r.doc_id, r.line_no): (r.removed, r.match_doc_id, r.match_line) for r in lines.line_matches(docs(rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == removed_lines(rows)
+    sets = {(i, n): set(line.split()) for i, t in rows for n, line in enumerate(t.split("\n"))}
+    order = list(sets)
+    for key, (removed, *match) in got.items():
+        if removed:
+            a, b = sets[tuple(match)], sets[key]
+            assert 100 * len(a & b) >= 80 * len(a | b) and order.index(tuple(match)) < order.index(key)
+
+
+def test_lists_split_lines_once(docs, capsys, tmp_path):
+    """Neither a filter by the size of what is exploded nor a condition on pairs works out a line's words again."""
+    frame = docs([(1, "a b c"), (2, "a b d")]).select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("line_no"), F.col("text").alias("line"))
+    lines.slot_classes(frame).write.parquet(str(tmp_path / "rarity"))
+    rarity = frame.sparkSession.read.parquet(str(tmp_path / "rarity"))
+    lines.listed(frame, rarity).explain()
+    assert capsys.readouterr().out.count("split(") == 1
+
+
 @pytest.mark.parametrize("name", ["op7_line_dedup", "op10_ngram_join"])
 def test_queries(spark, name):
     rows = QUERIES[name](spark, SMALL).collect()
